@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .common import table
 from .packing import best_fit_packing
+from .secrets import counted, digest, secret_scan
 from .simhash import hex_fingerprint, near_duplicates
 from .topk import exact_top_k
 from .warc import read_archives, write_archives
@@ -52,6 +53,41 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _spans(kind: str, order: int, good: str) -> str:
+    """DuckDB: a kind's matches as structs, by lengths of the pieces between marks."""
+    return f"""
+      list_transform(list_filter(list_transform(range(2, len({kind}) + 1, 2),
+        lambda i: {{'s': CAST(list_sum(list_transform({kind}[1:i-1], lambda x: length(x))) AS BIGINT), 'o': {order}, 'm': {kind}[i]}}), lambda x: {good}),
+        lambda x: {{'s': x.s, 'o': x.o, 'e': x.s + length(x.m)}})"""
+
+
+_ASSIGN = """(?i:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+@register(
+    "op7_secrets",
+    f"""
+    WITH t AS (SELECT doc_id, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+    p AS (SELECT doc_id,
+            string_split(regexp_replace(t, '({_ASSIGN})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS assign,
+            string_split(regexp_replace(t, '(AKIA[A-Z0-9]+)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS access,
+            string_split(regexp_replace(t, '([0-9a-f]+)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS hex FROM t),
+    s AS (SELECT doc_id, list_sort(list_concat(list_concat(
+            {_spans('assign', 0, f"length(regexp_extract(x.m, '{_ASSIGN}', 1)) >= 12")},
+            {_spans('access', 1, "length(x.m) >= 18")}),
+            {_spans('hex', 2, "length(x.m) >= 16")})) AS a FROM p),
+    n AS (SELECT doc_id, a, coalesce(list_aggregate(list_transform(a, lambda x: (['assign', 'access', 'hex'])[x.o + 1] || ':' || x.s || ':' || x.e), 'string_agg', ','), '') AS spans FROM s)
+    SELECT doc_id, CAST(len(list_filter(a, lambda x: x.o = 0)) AS BIGINT) AS n_assign, CAST(len(list_filter(a, lambda x: x.o = 1)) AS BIGINT) AS n_access,
+           CAST(len(list_filter(a, lambda x: x.o = 2)) AS BIGINT) AS n_hex, sha256(spans) AS base_sha256, spans FROM n
+    """,
+)
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    kinds = [counted(spans, k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    out = secret_scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *kinds, F.sha2(digest(spans), 256).alias("base_sha256"), digest(spans).alias("spans"))
+
+
 @register("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
