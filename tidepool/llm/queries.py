@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .common import table
 from .packing import best_fit_packing
+from .pii import KINDS, find_personal_data, train
 from .secrets import counted, digest, secret_scan
 from .simhash import hex_fingerprint, near_duplicates
 from .topk import exact_top_k
@@ -36,6 +37,14 @@ def register(name: str, oracle: str | None = None):
     return keep
 
 
+@register("op1_pii")
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = find_personal_data(docs, train(docs))
+    counts = [counted(F.col("base"), k).alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+
+
 @register("op2_neighbours")
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
