@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from . import toxicity
 from .ann import nearest
+from .bpe import build_lexicon, encode_decode
 from .common import table
+from .counts import token_counts
 from .packing import best_fit_packing
 from .pii import KINDS, find_personal_data, train
 from .secrets import counted, digest, secret_scan
@@ -51,6 +53,11 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
 
 
+@register("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 @register("op4_toxicity")
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -106,6 +113,13 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *kinds, F.sha2(digest(spans), 256).alias("base_sha256"), digest(spans).alias("spans"))
 
 
+@register("op8_bpe")
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")
+    out = encode_decode(docs, path, build_lexicon(docs, path))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @register("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
