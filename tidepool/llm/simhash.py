@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import BROADCAST_ROWS, map_batches, texts_of, written
 from .components import components
@@ -45,6 +46,18 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
 
 
+def with_fingerprint(docs: DataFrame, name: str, shingle: int = 4) -> DataFrame:
+    """``docs`` and its fingerprints in a column of this name."""
+    columns, at = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.array([fingerprint(t, shingle) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*columns, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def block_masks(distance: int, blocks: int) -> list[int]:
     """The bit masks to join on.  Two fingerprints that differ in ``distance`` bits agree on ``blocks - distance``
     of the blocks at least, so each pair meets under one of these masks."""
@@ -142,22 +155,23 @@ def links(reps: DataFrame, distance: int = 4, blocks: int | None = None, tile: i
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int | None = None, tile: int = 2048) -> DataFrame:
-    """``doc_id, fp, component_id``: one row per row of ``docs``.
+    """``doc_id, fp, component_id, root``: one row per row of ``docs``; ``root`` is a fingerprint that stands for the
+    component.
 
     Links hold between fingerprints that differ in ``distance`` bits or fewer; a component's id is the smallest
     doc_id that links reach.  Texts that are null, empty or white space have fingerprint zero and link like
     any other.  Copies share a fingerprint and count as one node.  A null doc_id is never a component's id,
     unless nothing else is in the component."""
     fps = written(fingerprints(docs, shingle), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     # Nodes are the fingerprints themselves; the smallest doc_id of a component follows by a minimum over it.
-    reps = written(reps.select("fp", "least"), "reps")
+    reps = written(reps, "reps")
     stars = components(links(reps.select("fp", F.col("fp").alias("node")), distance, blocks, tile))
     stars = stars.select(F.col("a").alias("fp"), F.col("b").alias("root"))
     rooted = reps.join(stars, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(ids, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = rooted.join(ids, "root").select("fp", "component_id", "root")
+    return fps.join(of, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def hex_fingerprint(column):
