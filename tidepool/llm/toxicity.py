@@ -22,6 +22,7 @@ STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SIGNS = re.escape("".join(STANDS_FOR))
 #: Words that may be disguised: a sign beside letters or a letter three times.  All others are restored to themselves.
 ODD = re.compile(rf"[^\W\d_][{SIGNS}]+[^\W\d_]|(?<![^\W\d_{SIGNS}])[{SIGNS}]+[^\W\d_]|[^\W\d_][{SIGNS}](?!\w|[{SIGNS}])|([^\W\d_])\1\1")
+TRIPLE, SIGN = re.compile(r"([^\W\d_])\1\1"), re.compile(f"[{SIGNS}]")
 #: Single letters or signs with one blank or mark between them.
 SPACED = re.compile(rf"(?<!\S)(?:[a-z{SIGNS}][ .\-_*]){{2,}}[a-z{SIGNS}](?!\S)")
 MAY_BE_SPACED = re.compile(rf"(?<!\S)[a-z{SIGNS}](?:[ .\-_*][a-z{SIGNS}]){{2}}")
@@ -103,6 +104,8 @@ def joined(text: str, language: Language) -> str:
 
 
 def restored_word(word: str, language: Language) -> str:
+    if not (TRIPLE.search(word) or SIGN.search(word) and ODD.search(word)):
+        return word
     core = word.strip(EDGE).rstrip("!" + EDGE)  # an exclamation mark that ends a word is one
     return word.replace(core, decode(core, language)) if core and len(core) <= 64 and ODD.search(core) else word
 
@@ -124,7 +127,10 @@ def features_of(word: str) -> list[str]:
 
 def features_by_word(language: Language, chosen=None, limit: int = 150_000) -> Cache:
     """Of each word, restored, the features that are among ``chosen`` (None: all)."""
-    return Cache(lambda w: tuple(f for f in features_of(restored_word(w, language)) if chosen is None or f in chosen), limit)
+    if chosen is None:
+        return Cache(lambda w: tuple(features_of(restored_word(w, language))), limit)
+    among = frozenset(chosen).intersection
+    return Cache(lambda w: tuple(among(features_of(restored_word(w, language)))), limit)
 
 
 def held_by(text: str, words: Cache, language: Language) -> set[str]:
@@ -247,20 +253,21 @@ def regress(held: list[list[int]], y: np.ndarray, n: int, weight: dict[int, floa
     return x[:n], x[n]
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) in place of any column of that name, from the text alone; null texts count as
-    empty."""
-    kept = [c for c in docs.columns if c != "score"]
-    at = kept.index("text")
+def scores(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with ``score`` (0 to 1) in place of any column of that name, from the text alone;
+    null texts count as empty."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c != "score"]
+    read = list(dict.fromkeys([*kept, "text"]))
+    at = read.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = model.words()
         for batch in batches:
             out = [model.score(t or "", words) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out, pa.float64())], [*kept, "score"])
 
-    docs = docs.select(*kept)
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    docs = docs.select(*read)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields[: len(kept)], StructField("score", DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
