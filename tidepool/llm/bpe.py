@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import mmap
 import os
 import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -352,15 +352,10 @@ def build_lexicon(docs: DataFrame, tokenizer: str, words: int = 30_000) -> str:
     codec = Codec(tokenizer, None)
     pre = sorted({w for word in frequent_words(docs, words) for w in codec.words_of(" " + word) if isinstance(w, str)})
     ids = {w.encode(): [int(i) for i in s.split(",")] for w, s in zip(pre, codec.encode_words(pre), strict=True)}
-    with tempfile.TemporaryDirectory() as folder:
-        path = f"{folder}/lexicon"
-        compile_lexicon(ids, path)
-        with open(path, "rb") as f:
-            name = f"lexicon-{hashlib.sha256(f.read()).hexdigest()[:24]}"
-        keep = f"{tempfile.mkdtemp(prefix='tidepool-')}/{name}"  # addFile serves it from here while the session lives
-        os.rename(path, keep)
-    docs.sparkSession.sparkContext.addFile(keep)
-    return name
+    path = f"{tempfile.mkdtemp(prefix='tidepool-')}/lexicon-{uuid.uuid4().hex}"  # addFile serves it from here
+    compile_lexicon(ids, path)
+    docs.sparkSession.sparkContext.addFile(path)
+    return os.path.basename(path)
 
 
 @lru_cache(maxsize=2)
