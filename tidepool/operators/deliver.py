@@ -46,7 +46,7 @@ def summary(matches: DataFrame, size: int = 512) -> DataFrame:
     """``title_id, exact_total, chunk_count, xor, sum``: xor and sum (mod 2^64, as a decimal) of the rows' hashes do not
     depend on the order or on how parts are merged."""
     hashed = row_hash(F.col("query_id"), F.col("score") if "score" in matches.columns else None)
-    modulus = F.lit(WORD).cast("decimal(38,0)")
+    modulus = F.lit(str(WORD)).cast("decimal(38,0)")
     out = matches.groupBy("title_id").agg(F.count(F.lit(1)).alias("exact_total"), F.bit_xor(hashed).alias("xor"), F.sum(hashed.cast("decimal(20,0)")).cast("decimal(38,0)").alias("_s"))
     return out.select("title_id", "exact_total", F.ceil(F.col("exact_total") / size).alias("chunk_count"), "xor", F.pmod("_s", modulus).cast("decimal(20,0)").alias("sum"))
 

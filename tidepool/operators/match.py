@@ -19,6 +19,15 @@ from tidepool.plans.lowering import compile_queries
 ARCS = T.ArrayType(T.StructType([T.StructField("feature", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 VIEW = T.StructType([T.StructField("neg", T.ArrayType(T.StringType())), T.StructField("pos", T.ArrayType(T.StringType())), T.StructField("neg_arcs", ARCS), T.StructField("pos_arcs", ARCS), T.StructField("positions", T.IntegerType())])
 
+#: So many signatures are looked for in each title before they are exploded.
+FEW_SIGNATURES = 256
+
+
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with these columns, computed once.  The optimizer writes a plain column's expression into every place that
+    reads it, and array functions share no work between places; it does not look through a generator."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
 
 def title_views(titles: DataFrame, analyzer: Analyzer, title: str = "title") -> DataFrame:
     """``titles`` with ``neg``, ``pos``, ``probe`` and, for phrases, ``sequence`` or arcs.
@@ -26,9 +35,9 @@ def title_views(titles: DataFrame, analyzer: Analyzer, title: str = "title") ->
     Without phrases in the vocabulary all of it is DataFrame functions; with phrases titles are analysed in batches in
     Python."""
     if analyzer.plain:
-        out = titles.withColumn("sequence", C.sequence_of(F.col(title), analyzer))
-        out = out.withColumn("pos", C.features_of(F.col("sequence")))
-        return out.withColumn("neg", F.col("pos")).withColumn("probe", F.array_sort(F.array_distinct("sequence")))
+        out = computed(titles, sequence=C.sequence_of(F.col(title), analyzer))
+        out = computed(out, pos=C.features_of(F.col("sequence")), probe=F.array_sort(F.array_distinct("sequence")))
+        return out.withColumn("neg", F.col("pos"))
 
     @F.pandas_udf(VIEW)
     def views(texts: pd.Series) -> pd.DataFrame:
@@ -44,7 +53,7 @@ def title_views(titles: DataFrame, analyzer: Analyzer, title: str = "title") ->
     return out.withColumn("probe", F.array_sort(F.array_union("pos", F.transform("pos_arcs", lambda a: a["feature"]))))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def phrases_hold(required: pd.Series, forbidden: pd.Series, pos_arcs: pd.Series, neg_arcs: pd.Series, positions: pd.Series) -> pd.Series:
     """Whether all required graphs occur in P-arcs and no forbidden one in N-arcs; null graphs: true."""
 
@@ -129,7 +138,7 @@ class QuerySet:
         """Matching pairs of a title and a live copy, with all columns of both.
 
         ``broadcast``: postings and queries go to the titles, which are not shuffled; of the signatures that a title shares
-        with a query only the first yields the pair.  ``shuffle``: titles and postings meet by signature, in narrow
+        with a query only the first yields the pair; meant for short titles or few queries.  ``shuffle``: titles and postings meet by signature, in narrow
         rows, and distinct pairs fetch the rest.  ``auto``: by the number of queries.  ``brute``: every pair is tried,
         as a check of the others."""
         views, rows = title_views(titles, self.analyzer), self.visible(scope)
@@ -139,7 +148,10 @@ class QuerySet:
             met = views.join(F.broadcast(rows))
         elif strategy == "broadcast":
             sigs = cover.title_signatures(F.col("pos"), F.col("probe"), self.mask)
-            views = views.withColumn("_sigs", F.array_union(sigs, F.array(F.lit(cover.UNIVERSAL))))
+            views = computed(views, _sigs=F.array_union(sigs, F.array(F.lit(cover.UNIVERSAL))))
+            known = [r.sig for r in rows.select(F.explode("signatures").alias("sig")).distinct().limit(FEW_SIGNATURES + 1).collect()]
+            if len(known) <= FEW_SIGNATURES:  # a long title's other signatures need not be exploded with all its columns
+                views = computed(views.withColumnRenamed("_sigs", "_all"), _sigs=F.array_intersect("_all", F.array(*map(F.lit, known)).cast("array<string>"))).drop("_all")
             posted = rows.withColumn("sig", F.explode("signatures"))
             met = views.withColumn("sig", F.explode("_sigs")).join(F.broadcast(posted), "sig")
             met = met.where(F.col("sig") == F.array_min(F.array_intersect("signatures", "_sigs"))).drop("sig", "_sigs")
