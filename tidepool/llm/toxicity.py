@@ -35,13 +35,21 @@ def letter(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
 
 
-def letter_counts(texts: list[str]) -> np.ndarray:
-    """Counts of three letters in a row."""
-    raw = np.frombuffer(" ".join(texts).lower().encode("utf-32-le"), np.uint32)
-    code = np.where((raw >= 97) & (raw <= 122), raw - 96, np.where(raw <= 32, 0, 27)).astype(np.int32)
-    if len(code) < 3:
-        return np.zeros(LETTERS**3, np.int64)
-    return np.bincount(code[:-2] * LETTERS**2 + code[1:-1] * LETTERS + code[2:], minlength=LETTERS**3)
+def letter_counts(texts: list[str], at_once: int = 500_000) -> np.ndarray:
+    """Counts of three letters in a row; two blanks stand before and after each text.  Some texts at a time, so that what
+    they become on the way stays small."""
+    total = np.zeros(LETTERS**3, np.int64)
+    held: list[str] = []
+    size = 0
+    for k, text in enumerate(texts):
+        held.append(text)
+        size += len(text)
+        if size >= at_once or k == len(texts) - 1:
+            raw = np.frombuffer(f"  {'  '.join(held)}  ".lower().encode("utf-32-le"), np.uint32)
+            code = np.where((raw >= 97) & (raw <= 122), raw - 96, np.where(raw <= 32, 0, 27)).astype(np.int32)
+            total += np.bincount(code[:-2] * LETTERS**2 + code[1:-1] * LETTERS + code[2:], minlength=LETTERS**3)
+            held, size = [], 0
+    return total
 
 
 class Language:
