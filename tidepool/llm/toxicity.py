@@ -218,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, most: int = 40
 
     schema = "feature string, toxic int, n long"
     seen = sample.mapInArrow(held(None, 1), schema).groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    often = seen.orderBy(F.desc("n"), "feature").limit(16 * features).collect()
+    often = written(seen.orderBy(F.desc("n"), "feature").limit(16 * features), "often").collect()
     chosen = frozenset(r.feature for r in often)
     in_clean = {r.feature: r.n for r in sample.mapInArrow(held(chosen, 0), schema).groupBy("feature").agg(F.sum("n").alias("n")).collect()}
     size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
