@@ -16,7 +16,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import texts_of, written
 from .tokens import PLAIN, Cache, Vocabulary, pretokens, vocabulary
 
 MAGIC = b"TIDELEX1"
@@ -344,7 +344,7 @@ def frequent_words(docs: DataFrame, most: int, held: int = 200_000) -> list[str]
             yield pa.RecordBatch.from_arrays([pa.array(list(count)), pa.array(list(count.values()), pa.int64())], ["word", "n"])
 
     counted = docs.select("text").mapInArrow(run, "word string, n long").where(F.length("word").between(1, 32)).groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return [r.word for r in written(counted.orderBy(F.desc("n"), "word").limit(most), "words").collect()]
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, words: int = 30_000) -> str:
