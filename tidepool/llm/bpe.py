@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts_of, written
-from .tokens import PLAIN, Cache, Vocabulary, pretokens, vocabulary
+from .tokens import PLAIN, Vocabulary, pretokens, vocabulary
 
 MAGIC = b"TIDELEX1"
 
@@ -164,7 +164,7 @@ class Merger:
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
         return np.where((self.codes[at] == code) & (a >= 0) & (b >= 0), self.rank[at], self.none), at
 
-    def merge(self, words: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    def merge(self, words: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
         """The ids of each word: in every round each word's leftmost pair of the lowest rank becomes one id, until no pair
         of any word can merge."""
         cols = np.arange(words.shape[1])
@@ -176,9 +176,11 @@ class Merger:
             rows = np.arange(len(at))
             spot = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(at), np.int64)
             going = ranks[rows, spot] != self.none if ranks.shape[1] else np.zeros(len(at), bool)
-            for k in np.flatnonzero(~going).tolist():
-                row = ids[k]
-                out[at[k]] = row[row >= 0]
+            over = ids[~going]
+            kept = over >= 0
+            flat, ends = over[kept].tolist(), kept.sum(axis=1).cumsum().tolist()
+            for k, lo, hi in zip(at[~going].tolist(), [0, *ends], ends, strict=False):
+                out[k] = flat[lo:hi]
             at, ids, ranks, spot = at[going], ids[going], ranks[going], spot[going]
             if not len(at):
                 break
@@ -199,7 +201,7 @@ class Merger:
             ranks[right, spot[right]] = self.lookup(ids[right, spot[right]], ids[right, spot[right] + 1])[0]
         return out
 
-    def merge_long(self, word: bytes) -> np.ndarray:
+    def merge_long(self, word: bytes) -> list[int]:
         """One long word, in time that grows little faster than its length: a heap of pairs over a linked list."""
         import heapq
 
@@ -220,7 +222,7 @@ class Merger:
             for x, y in ((before[i], i), (i, k)):
                 if x >= 0 and y >= 0 and (r := table.get((ids[x], ids[y]))):
                     heapq.heappush(heap, (r[0], x, ids[x], ids[y]))
-        return np.array([i for i in ids if i >= 0], np.int32)
+        return [i for i in ids if i >= 0]
 
     @lru_cache(maxsize=1)  # noqa: B019
     def table(self) -> dict:
@@ -229,6 +231,8 @@ class Merger:
 
 
 LONG = 64
+#: Parts whose ids a worker keeps, some 200 bytes each.
+CACHED = 300_000
 
 
 class Codec:
@@ -240,16 +244,19 @@ class Codec:
         self.vocab, self.lexicon = vocabulary(path), lexicon
         self.merger = Merger(self.vocab)
         self.bytes_of = {str(i): b for i, b in self.vocab.bytes_of.items()}
-        self.cache = Cache(lambda word: self.encode_words([word])[0])
+        self.decimal = [str(i) for i in range(max(self.vocab.bytes_of) + 1)]
+        self.cache: dict[str, str] = {}
 
     def encode_words(self, words: list[str]) -> list[str]:
         """Comma-joined ids of pre-tokens: from the lexicon, else merged."""
         raw = [w.encode() for w in words]
+        written = lambda ids: ",".join(map(self.decimal.__getitem__, ids))
         out: list[str] = [""] * len(raw)
         short = [k for k, w in enumerate(raw) if len(w) <= LONG]
-        for k, w in enumerate(raw):
-            if len(w) > LONG:
-                out[k] = ",".join(map(str, self.merger.merge_long(w).tolist()))
+        if len(short) < len(raw):
+            for k, w in enumerate(raw):
+                if len(w) > LONG:
+                    out[k] = written(self.merger.merge_long(w))
         if not short:
             return out
         lengths = np.array([len(raw[k]) for k in short])
@@ -258,13 +265,15 @@ class Codec:
         places = self.lexicon.find(matrix, lengths) if self.lexicon else np.full(len(short), -1)
         for k, place in zip(short, places.tolist(), strict=True):
             if place >= 0:
-                out[k] = ",".join(map(str, self.lexicon.ids[self.lexicon.starts[place] : self.lexicon.starts[place + 1]].tolist()))
+                out[k] = written(self.lexicon.ids[self.lexicon.starts[place] : self.lexicon.starts[place + 1]].tolist())
         unseen = np.flatnonzero(places < 0)
-        for size in (8, 16, 32, LONG):  # words of about a length together
-            some = unseen[(lengths[unseen] <= size) & (lengths[unseen] > (size // 2 if size > 8 else 0))]
+        least = 0
+        for size in (8, 12, 16, 32, LONG):  # words of about a length together
+            some = unseen[(lengths[unseen] > least) & (lengths[unseen] <= size)]
+            least = size
             if len(some):
                 for k, ids in zip(some.tolist(), self.merger.merge(matrix[some, : min(size, width)], lengths[some]), strict=True):
-                    out[short[k]] = ",".join(map(str, ids.tolist()))
+                    out[short[k]] = written(ids)
         return out
 
     def words_of(self, text: str) -> list[str | int]:
@@ -278,27 +287,27 @@ class Codec:
         return out
 
     def encode(self, texts: list[str]) -> list[str]:
-        """Comma-joined ids of each text.  Words that no text before had are looked up together, first."""
+        """Comma-joined ids of each text.
+
+        Between single spaces stand parts that are encoded alike everywhere, so only parts that are new are cut into
+        pre-tokens, and all new pre-tokens are looked up together."""
         cut = [split_words(t) for t in texts]
-        # Between single spaces stand parts that are encoded alike everywhere; only new parts are cut into pre-tokens.
-        new_parts = list({p for c in cut if c for p in c} - self.cache.keys())
-        lists = [[p] if PLAIN(p[1:]) and p[0] == " " or PLAIN(p) else self.words_of(p) for p in new_parts]
+        new_parts = list(set().union(*filter(None, cut)) - self.cache.keys())
+        spelled = [part_text(p) for p in new_parts]
+        lists = [[p] if PLAIN(p[1:] if p[:1] == " " else p) else self.words_of(p) for p in spelled]
         rest = [self.words_of(t) if c is None else None for t, c in zip(texts, cut, strict=True)]
         new = list({w for ws in (*lists, *filter(None, rest)) for w in ws if isinstance(w, str)})
         known: dict[str, str] = {}
         for lo in range(0, len(new), 20_000):
             known.update(zip(new[lo : lo + 20_000], self.encode_words(new[lo : lo + 20_000]), strict=True))
         join = lambda ws: ",".join([known[w] if isinstance(w, str) else str(w) for w in ws])
-        now = {p: join(ws) for p, ws in zip(new_parts, lists, strict=True)}
-        get = lambda p: now[p] if p in now else self.cache[p]
-        out = []
-        for c, ws in zip(cut, rest, strict=True):
-            out.append(join(ws) if c is None else ",".join(map(get, c)))
-        for p, ids in now.items():
-            if len(p) <= self.cache.longest:
-                if len(self.cache) >= self.cache.limit:
-                    self.cache.clear()
-                self.cache[p] = ids
+        now = {p: known[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else join(ws) for p, ws in zip(new_parts, lists, strict=True)}
+        if len(self.cache) + len(now) > CACHED:  # starts anew with what these texts need
+            self.cache = {p: self.cache[p] for p in set().union(*filter(None, cut)) & self.cache.keys()}
+        self.cache.update(now)
+        out = [join(ws) if c is None else ",".join(map(self.cache.__getitem__, c)) for c, ws in zip(cut, rest, strict=True)]
+        for p in [p for p in now if len(p) > LONG]:
+            del self.cache[p]
         return out
 
     def decode(self, ids: str) -> str:
@@ -309,12 +318,20 @@ class Codec:
 
 
 def split_words(text: str) -> list[str] | None:
-    """Parts of a text, each with the space in front of it, that are encoded by themselves as they are in place; None where
-    spaces stand together, as they may form one pre-token."""
+    """Parts of a text between its spaces, which are encoded by themselves as they are in place; None where spaces stand
+    together, as they may form one pre-token.  A part has a space in front of it, and its key here has none; the first
+    part, which has none, has a space after it in its key."""
     if "  " in text:
         return None
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + p for p in rest]
+    parts = text.split(" ")
+    if parts[0]:
+        parts[0] += " "
+        return parts
+    return parts[1:]
+
+
+def part_text(key: str) -> str:
+    return key[:-1] if key[-1:] == " " else " " + key
 
 
 # --- over a table --------------------------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import split_words
+from .bpe import part_text, split_words
 from .common import texts_of
 from .tokens import PLAIN, Cache, pretokens, vocabulary
 
@@ -70,10 +70,13 @@ class Counter:
     def __init__(self, tokenizer: str):
         self.vocab = vocabulary(tokenizer)
         self.trie = Trie(unigram_scores(tokenizer))
-        self.cache = Cache(self.of_part)
+        self.cache = Cache(self.of_key)
+
+    def of_key(self, key: str) -> int:
+        return self.of_part(part_text(key))
 
     def of_part(self, part: str) -> int:
-        if PLAIN(part[1:]) and part[0] == " ":
+        if part[:1] == " " and PLAIN(part[1:]):
             return self.trie.insert(part.encode())
         total = 0
         for piece, special in self.vocab.pieces(part):
