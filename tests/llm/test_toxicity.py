@@ -56,6 +56,13 @@ def test_features():
     assert features_of("it") == [] and "=river" in features_of("river,") and "^riv" in features_of("River".lower())
 
 
+def test_features_of_every_letter():
+    run = "/".join(["river"] * 9 + ["idiot"])
+    assert "idiot" in features_of(run) and "idio" in features_of("河" * 5000 + "idiot")
+    assert len(max(features_of("河" * 5000), key=len)) < 80  # names stay short
+    assert set(features_of("a" * 45 + "b")).isdisjoint(f for f in features_of("a" * 45 + "c") if f.startswith("="))
+
+
 def corpus(spark):
     rnd = random.Random(1)
     rows, labels = [], []
@@ -81,6 +88,14 @@ def test_held_out_accuracy_and_rows(spark):
     assert next(r.score for r in got if r.doc_id is None) >= 0.5
 
 
+def test_toxic_words_late_in_an_unbroken_run(spark):
+    docs, labels = corpus(spark)
+    model = train(docs, labels, ~held_out(), features=400)
+    runs = [(1, "/".join(["garden"] * 9 + ["idiot", "moron"])), (2, "/".join(["garden"] * 11))]
+    got = {r.doc_id: r.score for r in scores(spark.createDataFrame(runs, "doc_id long, text string"), model).collect()}
+    assert got[1] >= 0.5 > got[2]
+
+
 def test_labels_that_are_held_out_have_no_effect(spark):
     docs, labels = corpus(spark)
     turned = labels.selectExpr("doc_id", "case when crc32(cast(cast(doc_id as string) as binary)) % 5 = 0 then 1 - toxic else toxic end as toxic")

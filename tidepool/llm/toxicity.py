@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -124,13 +125,15 @@ def restore(text: str, language: Language) -> str:
 
 
 def features_of(word: str) -> list[str]:
-    """A word's features: itself, its beginnings, and what it holds."""
-    w = "".join(filter(str.isalpha, word))[:40]
+    """A word's features: itself, its beginnings, and what it holds, over all its letters.  A long word, which can be a whole
+    text in a script without spaces, is named by its digest, so that names stay short."""
+    w = "".join(filter(str.isalpha, word))
     if len(w) < 3:
         return []
     marked = "^" + w
     grams = [marked[i : i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1)]
-    return [*grams, f"={w}"] if len(w) >= 4 else [f"={w}"]
+    name = f"={w}" if len(w) <= 40 else f"={hashlib.sha256(w.encode('utf-8', 'surrogatepass')).hexdigest()}"
+    return [*grams, name] if len(w) >= 4 else [name]
 
 
 def features_by_word(language: Language, chosen=None, limit: int = 150_000) -> Cache:
