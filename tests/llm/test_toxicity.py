@@ -56,6 +56,13 @@ def test_features():
     assert features_of("it") == [] and "=river" in features_of("river,") and "^riv" in features_of("River".lower())
 
 
+def test_long_disguises(language):
+    assert restore("stu" + "u" * 70 + "pid", language) == "stupid"
+    for mark in "./_":
+        phrase = mark.join(["stone"] * 12)
+        assert restore(f"{phrase}{mark}1d10t{mark}m0r0n", language) == f"{phrase}{mark}idiot{mark}moron"
+
+
 def test_features_of_every_letter():
     run = "/".join(["river"] * 9 + ["idiot"])
     assert "idiot" in features_of(run) and "idio" in features_of("河" * 5000 + "idiot")

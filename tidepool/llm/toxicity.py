@@ -8,6 +8,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -86,10 +87,15 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(word: str, language: Language) -> str:
-    """The cheapest path through the word's lattice under the channel and the language."""
+    """The cheapest path through the word's lattice under the channel and the language.  What all paths begin with
+    is put aside, so that a long word costs no more a letter than a short one."""
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     cost = language.cost
+    shared: list[str] = []
     for place in [*lattice(word), [(" ", 0.0)]]:
+        if len(next(iter(states.values()))[1]) >= 64 and (begin := commonprefix([text for _, text in states.values()])):
+            shared.append(begin)
+            states = {ends: (so_far, text[len(begin) :]) for ends, (so_far, text) in states.items()}
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (total, text) in states.items():
             for letters, charge in place:
@@ -101,7 +107,7 @@ def decode(word: str, language: Language) -> str:
                 if (x, y) not in new or sum_ < new[x, y][0]:
                     new[x, y] = sum_, text + letters
         states = new
-    return min(states.values())[1][:-1]
+    return ("".join(shared) + min(states.values())[1])[:-1]
 
 
 def joined(text: str, language: Language) -> str:
@@ -116,7 +122,7 @@ def restored_word(word: str, language: Language) -> str:
     if not (TRIPLE.search(word) or SIGN.search(word) and ODD.search(word)):
         return word
     core = word.strip(EDGE).rstrip("!" + EDGE)  # an exclamation mark that ends a word is one
-    return word.replace(core, decode(core, language)) if core and len(core) <= 64 and ODD.search(core) else word
+    return word.replace(core, decode(core, language)) if core and ODD.search(core) else word
 
 
 def restore(text: str, language: Language) -> str:
