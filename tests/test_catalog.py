@@ -35,3 +35,11 @@ def test_query_equals_its_sql(spark, name):
 
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.ORACLES)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["percolate_prefiltered_all", "explain_failures_all"])
+def test_all_titles_are_prefiltered_and_explained(spark, name, monkeypatch):
+    monkeypatch.setitem(globals(), "SF", SF.replace("sf0.001", "sf0.01"))  # more titles than the queries over some ids take
+    test_query_equals_its_sql(spark, name)
+    assert catalog.QUERIES[name](spark, SF).where("title_id > 200").limit(1).count() == 1

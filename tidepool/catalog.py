@@ -191,6 +191,12 @@ def percolate_prefiltered(spark, sf_dir):
     return stored(spark, sf_dir).prefiltered(titles).match(titles, "with_broad")
 
 
+@query("percolate_prefiltered_all", f"WITH {MATCHED_SQL} SELECT title_id, query_id FROM m")
+def percolate_prefiltered_all(spark, sf_dir):
+    titles = part_titles(spark, sf_dir)
+    return stored(spark, sf_dir).prefiltered(titles).match(titles, "with_broad")
+
+
 @query("percolate_union_of_documents", f"WITH {MATCHED_SQL} SELECT query_id, count(DISTINCT title_id) AS slots, min(title_id) AS first_slot FROM m GROUP BY query_id")
 def percolate_union_of_documents(spark, sf_dir):
     found = stored(spark, sf_dir).match(part_titles(spark, sf_dir), "with_broad")
@@ -333,6 +339,14 @@ def explain_failures(spark, sf_dir):
     return out.select("title_id", "query_id", "matched", F.array_join("failures", "; ").alias("failures"))
 
 
+@query("explain_failures_all", f"""WITH {views_sql()} SELECT title_id, CAST(1 AS BIGINT) AS query_id, {has('bolt')} AND NOT {has('red')} AND ({has('small')} OR {has('new')}) AS matched,
+    array_to_string(list_filter([CASE WHEN NOT {has('bolt')} THEN 'missing required: term:bolt' END, CASE WHEN {has('red')} THEN 'forbidden present: term:red' END, CASE WHEN NOT ({has('small')} OR {has('new')}) THEN 'any-of groups unmet: 1' END], lambda x: x IS NOT NULL), '; ') AS failures FROM v""")
+def explain_failures_all(spark, sf_dir):
+    built = QuerySet.build(inline(spark, {1: "bolt -red (small,new)"}))
+    out = inspect.explain(built, part_titles(spark, sf_dir))
+    return out.select("title_id", "query_id", "matched", F.array_join("failures", "; ").alias("failures"))
+
+
 # --- registry ----------------------------------------------------------------------------------------------------------------
 
 OPS_SQL = """o AS (SELECT o_orderkey AS seq, o_custkey AS query_id, CASE o_orderstatus WHEN 'P' THEN 'delete' WHEN 'O' THEN {second} ELSE 'index' END AS op, 'bolt ' || o_orderkey AS query FROM orders)"""
