@@ -199,6 +199,16 @@ def test_registry_on_disk(spark, tmp_path):
     assert registry.compaction_range([10_000, 10, 10, 10]) == (1, 4)
 
 
+def test_all_that_is_learned_is_kept(spark):
+    groups = spark.range(2 * 10_001).selectExpr("id AS query_id", "concat('(a', id div 2, ',b', id div 2, ')') AS query")
+    assert len(learn.learn_vocabulary(groups, equivalences=True).equivalences) == 10_001
+    assert len(learn.learn_vocabulary(groups).synonyms) == 10_001
+    texts = spark.range(3 * 10_001).selectExpr("id AS query_id", "concat('a', id div 3, ' b', id div 3) AS query")
+    assert len(learn.learn_phrases(texts, iterations=1, column="query", id_column="query_id")) == 10_001
+    with pytest.raises(ValueError):
+        learn.learn_vocabulary(groups.limit(40), min_count=1, equivalences=True, most=3)
+
+
 def test_learning(spark):
     rows = [(i, q) for i, q in enumerate(["(tv,television) set", "(television,tv)", "red lamp shade", "red lamp shade old", "red lamp oil", "(ny,new york)", "x (new york,ny)"])]
     v = learn.learn_vocabulary(frame(spark, rows, "query_id long, query string"), phrases=True, npmi_min=3)

@@ -100,19 +100,28 @@ def glued(words: Column, phrases: Column) -> Column:
     return F.aggregate(words, start, step, lambda s: F.when(s["last"].isNotNull(), F.concat(s["out"], F.array(s["last"]))).otherwise(s["out"]))
 
 
-def learn_phrases(texts: DataFrame, min_count: int = 3, tau: float = 0.3, iterations: int = 2, column: str = "text", id_column: str = "doc_id", most: int = 10_000) -> dict[tuple[str, ...], tuple[str, bool]]:
-    """Additive phrases, found again over glued tokens so that longer ones grow.  At most ``most`` a round come to the
-    driver, the most frequent ones: a vocabulary is an object of the driver."""
+def all_rows(rows: DataFrame, most: int | None, what: str) -> list:
+    """Every row; an error, and no part of them, if there are more than ``most``."""
+    out = (rows if most is None else rows.limit(most + 1)).collect()
+    if most is not None and len(out) > most:
+        raise ValueError(f"over {most} {what} learned: raise most or min_count")
+    return out
+
+
+def learn_phrases(texts: DataFrame, min_count: int = 3, tau: float = 0.3, iterations: int = 2, column: str = "text", id_column: str = "doc_id", most: int | None = None) -> dict[tuple[str, ...], tuple[str, bool]]:
+    """Additive phrases, found again over glued tokens so that longer ones grow.  All of them come to the driver, as a
+    vocabulary is an object of the driver; more than ``most`` a round, if it is given, are an error."""
     rows = texts.select(F.col(id_column).alias("doc_id"), corpus_tokens(F.col(column)).alias("w"))
     out: dict[tuple[str, ...], tuple[str, bool]] = {}
     for _ in range(iterations):
-        found = npmi_phrases(rows, min_count, tau, id_column="doc_id", column="w", words=F.col("w")).orderBy(F.desc("n"), "a", "b").limit(most).collect()
+        found = npmi_phrases(rows, min_count, tau, id_column="doc_id", column="w", words=F.col("w")).orderBy(F.desc("n"), "a", "b")
+        found = all_rows(found, most, "phrases")
         names = [f"{r.a}_{r.b}" for r in found]
         fresh = {tuple(n.split("_")): (f"term:{n}", True) for n in names}
         if not set(fresh) - set(out):
             break
         out |= fresh
-        rows = rows.select("doc_id", glued(F.col("w"), F.array(*map(F.lit, names))).alias("w"))
+        rows = rows.select("doc_id", glued(F.col("w"), F.split(F.lit(" ".join(names)), " ")).alias("w"))  # one literal; tokens hold no space
     return out
 
 
@@ -179,15 +188,15 @@ def feedback(titles: DataFrame, matches: DataFrame, pairs: list[tuple[str, str]]
     return counts.join(jaccard, ["a", "b"], "left").select("a", "b", "titles_a", "titles_b", "titles_both", F.coalesce("queries_sampled", F.lit(0).cast("long")).alias("queries_sampled"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 
-def learn_vocabulary(queries: DataFrame, min_count: int = 2, equivalences: bool = False, phrases: bool = False, tau: float = 0.3, npmi_min: int = 3, iterations: int = 2, most: int = 10_000) -> Vocabulary:
-    """A vocabulary from any-of groups, as synonyms and phrases or as equivalences, with phrases of the corpus if asked.  At
-    most ``most`` of each come to the driver, the best supported ones."""
+def learn_vocabulary(queries: DataFrame, min_count: int = 2, equivalences: bool = False, phrases: bool = False, tau: float = 0.3, npmi_min: int = 3, iterations: int = 2, most: int | None = None) -> Vocabulary:
+    """A vocabulary from any-of groups, as synonyms and phrases or as equivalences, with phrases of the corpus if asked.
+    All of them come to the driver; more than ``most`` of a kind, if it is given, are an error."""
     out = Vocabulary()
     if equivalences:
-        rows = equivalence_pairs(queries, min_count).orderBy(F.desc("n"), "a", "b").limit(most).collect()
+        rows = all_rows(equivalence_pairs(queries, min_count).orderBy(F.desc("n"), "a", "b"), most, "equivalences")
         out.equivalences = [(r.a, r.b) for r in rows]
     else:
-        for r in synonym_pairs(queries, min_count).orderBy(F.desc("n"), "alias").limit(most).collect():
+        for r in all_rows(synonym_pairs(queries, min_count).orderBy(F.desc("n"), "alias"), most, "synonyms"):
             tokens = tuple(r.alias.split("_"))
             if len(tokens) > 1:
                 out.phrases[tokens] = (f"term:{r.canonical}", False)
