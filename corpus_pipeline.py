@@ -28,6 +28,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays.
 
+    Near-duplicates are those of op6: fingerprints of 4-word shingles that differ in at most 4 bits.  On random-word texts
+    of 200 words that links 7 % of the pairs of 5-word Jaccard 0.81 and 30 % of those of 0.90 (300 pairs each), so most
+    edited copies of that likeness stay.
+
     Where ids are unique, the ids that stay are all that is needed.  Where some repeat or are null, the row itself
     is looked up by its fingerprint, and one row of each group stays."""
     groups = written(near_duplicates(docs), "groups")
