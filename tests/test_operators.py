@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepool.functions import columns as C
+from tidepool.functions.aliases import AliasRegistry
 from tidepool.functions.sql import register
 from tidepool.operators import deliver, learn, rank
 from tidepool.operators.match import QuerySet
@@ -209,6 +210,20 @@ def test_all_that_is_learned_is_kept(spark):
         learn.learn_vocabulary(groups.limit(40), min_count=1, equivalences=True, most=3)
 
 
+def test_aliases_from_groups_and_pairs(spark):
+    rows = [(i, q) for i, q in enumerate(["(colour,colours) x", "(colours,colour)", "(colour,colours)", "(red,scarlet)", "(red,scarlet) y", "(once,twice)"])]
+    aliases = AliasRegistry()
+    queries = frame(spark, rows, "query_id long, query string")
+    assert learn.learn_aliases(queries, aliases) == 1 and learn.learn_aliases(queries, aliases) == 0
+    got = {k: (a.provenance, a.status, a.confidence) for k, a in aliases.entries.items()}
+    assert got == {("colour", "colours"): ("learned", "active", 0.6), ("red", "scarlet"): ("learned", "candidate", 0.5)}
+    aliases.add(("up", "down"), "distributional")
+    aliases.reject(("up", "down"))
+    pairs = frame(spark, [("down", "up", 0.9), ("red", "scarlet", 1.5), ("gear", "cog", float("nan"))], "a string, b string, similarity double")
+    assert learn.record_candidates(pairs, aliases) == (1, 1, 1)
+    assert [(aliases.entries[k].status, aliases.entries[k].confidence) for k in (("cog", "gear"), ("red", "scarlet"), ("down", "up"))] == [("candidate", 0.0), ("candidate", 1.0), ("rejected", 0.9)]
+
+
 def test_learning(spark):
     rows = [(i, q) for i, q in enumerate(["(tv,television) set", "(television,tv)", "red lamp shade", "red lamp shade old", "red lamp oil", "(ny,new york)", "x (new york,ny)"])]
     v = learn.learn_vocabulary(frame(spark, rows, "query_id long, query string"), phrases=True, npmi_min=3)

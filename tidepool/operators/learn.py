@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.functions.aliases import AliasRegistry
 from tidepool.functions.columns import folded
 from tidepool.functions.dsl import QueryError, parse
 from tidepool.functions.vocabulary import Vocabulary
@@ -160,6 +163,35 @@ def discover_pairs(queries: DataFrame, min_count: int = 10, vocabulary: int = 40
     return out.where((F.col("similarity") >= similarity) & (F.col("together") <= F.lit(together))).orderBy(F.desc("similarity"), "a", "b").limit(top)
 
 
+# --- aliases -------------------------------------------------------------------------------------------------------------
+
+
+def learn_aliases(queries: DataFrame, aliases: AliasRegistry, min_count: int = 2, analyzer=None) -> int:
+    """Takes any-of groups of at least ``min_count`` clauses into the registry as learned; how many became active.  A
+    group's confidence is 0.5 at ``min_count`` and nears 1 as it recurs."""
+    activated = 0
+    for r in group_support(queries, min_count).orderBy(F.desc("n"), "forms").collect():
+        old = aliases.entries.get(aliases.key(r.forms))
+        new = aliases.add(r.forms, "learned", r.n / (r.n + max(1, min_count)), analyzer)
+        activated += new is not None and new.status == "active" and (old is None or old.status != "active")
+    return activated
+
+
+def record_candidates(pairs: DataFrame, aliases: AliasRegistry, analyzer=None) -> tuple[int, int, int]:
+    """Takes distributional pairs (``a, b, similarity``) into the registry as candidates, which never act by themselves; how
+    many are new, were known, and stay rejected."""
+    fresh = seen = rejected = 0
+    for r in pairs.select("a", "b", "similarity").orderBy(F.desc("similarity"), "a", "b").collect():
+        known = aliases.key((r.a, r.b)) in aliases.entries
+        sure = min(1.0, max(0.0, r.similarity)) if r.similarity is not None and math.isfinite(r.similarity) else 0.0
+        new = aliases.add((r.a, r.b), "distributional", sure, analyzer)
+        if new is not None:
+            rejected += new.status == "rejected"
+            seen += new.status != "rejected" and known
+            fresh += new.status != "rejected" and not known
+    return fresh, seen, rejected
+
+
 # --- feedback ------------------------------------------------------------------------------------------------------------
 
 
