@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import best, each_pair, finite, packed, ranked, unpack
+from .vectors import Queries, best, finite, packed, past_shards, ranked, results, waves
 
 
 @lru_cache(maxsize=8)
@@ -39,11 +39,18 @@ def probe_sets(hashes: int, probes: int) -> np.ndarray:
 
 
 class Tables:
-    """p-stable hash tables over unit vectors: h(x) = floor((a.x + b) / width), a normal, b uniform."""
+    """p-stable hash tables over unit vectors: h(x) = floor((a.x + b) / width), a normal, b uniform.
+
+    Directions are drawn a vector's length of them at a time and made orthogonal, with the lengths that normal ones have
+    in the mean: each by itself is as before, but together they say more of a distance."""
 
     def __init__(self, dim: int, tables: int, hashes: int, width: float, seed: int = 7):
         rng = np.random.default_rng((seed, dim))
-        self.a = rng.standard_normal((tables, hashes, dim)) / width
+        drawn = []
+        while len(drawn) * dim < tables * hashes:
+            q, r = np.linalg.qr(rng.standard_normal((dim, dim)))
+            drawn.append(q * np.sign(np.diag(r)))
+        self.a = np.concatenate(drawn)[: tables * hashes].reshape(tables, hashes, dim) * (np.sqrt(dim) / width)
         self.b = rng.random((tables, hashes))
         self.mix = rng.integers(1, 1 << 62, hashes, np.int64) | 1  # a bucket's key is linear in its hashes, so a perturbed key is a sum
 
@@ -85,9 +92,9 @@ class Index:
             order = np.argsort(keys, kind="stable")
             self.sorted.append((keys[order], order))
 
-    def candidates(self, queries: np.ndarray, probes: int) -> np.ndarray:
-        """Which rows share a probed bucket of any table with each query: a matrix of booleans."""
-        met = np.zeros((len(queries), len(self.units)), bool)
+    def hits(self, queries: np.ndarray, probes: int) -> np.ndarray:
+        """In how many tables each row lies in a bucket that the query probes: a matrix of small numbers."""
+        met = np.zeros((len(queries), len(self.units)), np.uint8)
         flat = met.reshape(-1)
         for t, (keys, order) in enumerate(self.sorted):
             asked = self.tables.probes(t, queries, probes)
@@ -97,48 +104,57 @@ class Index:
             lo, size, who = lo[some], (hi - lo)[some], who[some]
             if len(size):
                 at = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                flat[np.repeat(who, size) * len(self.units) + order[at]] = True
+                flat[np.repeat(who, size) * len(self.units) + order[at]] += 1  # a table's probed buckets are distinct, so a row comes once
         return met
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 28, hashes: int = 16, width: float = 3.0, probes: int = 80, id_column: str = "vec_id", vector_column: str = "embedding", shard: int = 8192, block: int = 2048) -> DataFrame:
+def chosen(hits: np.ndarray, votes: int, least: int) -> np.ndarray:
+    """The rows that ``votes`` tables or more offer; fewer tables will do, in the end none, while there are under ``least``
+    rows."""
+    while votes:
+        some = np.flatnonzero(hits >= votes)
+        if len(some) >= least:
+            return some
+        votes -= 1
+    return np.arange(len(hits))
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 32, hashes: int = 8, width: float = 2.0, probes: int = 100, votes: int = 7, least: int = 800, id_column: str = "vec_id", vector_column: str = "embedding", shard: int = 16 << 20, wave: int = 32 << 20) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k largest cosines found for each query.
 
-    Queries are the rows where ``is_query`` (a condition on ``id``) holds; its own id is no candidate of a query.
+    Queries are the rows where ``is_query`` (a condition on ``id``) holds; rows with the query's id are no candidates of it.
+    An id may occur on many rows: each is a candidate, and each is a query of its own.
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor does a null id.
     A query meets vectors of its own length only.
 
-    All rows are indexed.  They are dealt by a hash of the id, not by bucket, into shards with tables of their own,
-    so a common vector's bucket is spread over all of them; equal vectors keep equal scores.  A query with fewer than
-    k candidates in a shard's probed buckets gets more probes there, and at last the shard's rows."""
+    All rows are indexed, in shards of about ``shard`` bytes with tables of their own; they are dealt by place, not by bucket,
+    so a common vector's bucket is spread over all shards, and equal vectors keep equal scores.  Queries pass in waves of
+    about ``wave`` bytes, which go to the shards; shards do not move.  In a shard each table offers the rows of a query's
+    own bucket and of ``probes`` perturbed ones; merged, the rows that ``votes`` tables offer are candidates, for which exact
+    cosines are computed.  Where they are fewer than ``least``, fewer votes do, and at last all rows of the shard are
+    candidates: the fewer rows there are, the further off the nearest ones lie."""
     rows = finite(vectors, id_column, vector_column).where(F.exists("vector", lambda x: x != 0))
-    shards, blocks = packed(rows, shard), packed(rows.where(is_query), block)
-
-    def search(rows: Iterator[dict]) -> Iterator[tuple]:
-        at, index, ids, units = None, None, None, None
-        for row in rows:
-            if at != (row["dim"], row["part"]):
-                at = row["dim"], row["part"]
-                ids, data = unpack(row, "shard", np.float64)
-                index = Index(data, Tables(row["dim"], tables, hashes, width), tables)
-                lengths = np.sqrt((data * data).sum(axis=1))
-            query_ids, queries = unpack(row, "query", np.float64)
-            units, _ = units_of(queries)
-            found: list[tuple] = []
-            for lo in range(0, len(queries), 256):
-                met = index.candidates(units[lo : lo + 256], probes)
-                for q, mine in enumerate(met, lo):
-                    some = np.flatnonzero(mine & (ids != query_ids[q]))
-                    if len(some) < k:
-                        more = index.candidates(units[q : q + 1], 20 * probes)[0] & (ids != query_ids[q])
-                        some = np.flatnonzero(more if more.sum() >= k else ids != query_ids[q])
-                    scores = cosines(data[some], lengths[some], queries[q])
-                    top = best(ids[some], scores, k)
-                    found.append((np.full(len(top), query_ids[q]), ids[some][top], scores[top]))
-            if found:
-                yield tuple(np.concatenate(c) for c in zip(*found, strict=True))
-
-    return ranked(each_pair(shards, blocks, search, "double"), k)
+    shards, _ = packed(rows, shard)
+    queries, count = packed(rows.where(is_query), wave)
+
+    def search(asked: Queries, ids: np.ndarray, data: np.ndarray, memory: dict) -> Iterator[tuple]:
+        index = Index(data, Tables(data.shape[1], tables, hashes, width), tables)
+        lengths = np.sqrt((data * data).sum(axis=1))
+        units, _ = units_of(asked.data)
+        found: list[tuple] = []
+        for lo in range(0, len(units), 256):
+            for q, hits in enumerate(index.hits(units[lo : lo + 256], probes), lo):
+                other = ids != asked.ids[q]
+                some = chosen(np.where(other, hits, 0), votes, max(k, least))
+                some = some[other[some]]
+                scores = cosines(data[some], lengths[some], asked.data[q])
+                top = best(ids[some], scores, k)
+                found.append((np.full(len(top), q), ids[some][top], scores[top]))
+        if found:
+            yield tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+    found = [ranked(past_shards(shards, w, np.float64, search, "double", "near"), k) for w in waves(queries, count, np.float64)]
+    return results(found, rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double"))
 
 
 def cosines(data: np.ndarray, lengths: np.ndarray, query: np.ndarray) -> np.ndarray:

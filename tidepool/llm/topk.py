@@ -6,11 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .vectors import best, each_pair, finite, packed, ranked, unpack
+from .vectors import Queries, best, finite, packed, past_shards, ranked, results, waves
 
 #: Whole numbers up to here are exact in a double, and so is any sum of them that stays below.
 EXACT = float(1 << 53)
@@ -24,17 +24,20 @@ class Node:
     center: np.ndarray
     radius: float
     children: tuple[Node, Node] | None = None
+    number: int = 0
 
 
-def ball_tree(data: np.ndarray, leaf: int = 256) -> tuple[Node, np.ndarray]:
-    """The tree and the order of rows in which each node is a range."""
+def ball_tree(data: np.ndarray, leaf: int = 256) -> tuple[list[Node], np.ndarray]:
+    """The nodes, the root first, and the order of rows in which each node is a range."""
     order = np.arange(len(data))
+    nodes: list[Node] = []
 
     def build(lo: int, hi: int) -> Node:
         rows = data[order[lo:hi]].astype(float)
         center = rows.mean(axis=0)
         away = np.sqrt(((rows - center) ** 2).sum(axis=1))
-        node = Node(lo, hi, center, float(away.max()) * (1 + 1e-9))
+        node = Node(lo, hi, center, float(away.max()) * (1 + 1e-9), number=len(nodes))
+        nodes.append(node)
         if hi - lo > leaf and node.radius > 0:
             one = rows[away.argmax()]
             other = rows[((rows - one) ** 2).sum(axis=1).argmax()]
@@ -44,57 +47,64 @@ def ball_tree(data: np.ndarray, leaf: int = 256) -> tuple[Node, np.ndarray]:
             node.children = build(lo, lo + mid), build(lo + mid, hi)
         return node
 
-    return build(0, len(data)), order
+    build(0, len(data))
+    return nodes, order
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of integer rows, exact: by doubles where they hold them, else by 64-bit integers."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    """Inner products of integer rows, exact: by doubles where they hold them, else by 64-bit integers, else by
+    unbounded ones.  A product beyond 64 bits is an error."""
+    most = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * a.shape[1]
     if most < EXACT:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return a @ b.T
+    if most < 2.0**62:
+        return a @ b.T
+    out = a.astype(object) @ b.astype(object).T
+    if out.size and (out.max() >= 1 << 63 or out.min() <= LOWEST):
+        raise OverflowError("an inner product is beyond 64 bits")
+    return out.astype(np.int64)
 
 
-def search_tree(root: Node, data: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple]:
-    """The k best of each query in one shard that score ``floor`` (its kth score so far) or more.
+def whole(data: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x).  A number beyond 64 bits is an error."""
+    out = np.floor(data * scale)
+    if not (np.abs(out) < 2.0**63).all():
+        raise OverflowError(f"a component times {scale} is beyond 64 bits")
+    return out.astype(np.int64)
 
-    ``data`` and ``ids`` stand in the tree's order.  A node's bound is q.center + |q| radius.  Queries go down
-    together, each only into nodes whose bound reaches its floor; then each visits the leaves in the order of their
-    bounds, until the next bound is below its own kth score.  Queries at the same leaf share a product."""
+
+def search_tree(nodes: list[Node], data: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(indexes of queries, ids, scores): the k best of each query in one shard that score ``floor`` (its kth score so far)
+    or more; and how many rows were scored, over all queries.
+
+    ``data`` and ``ids`` stand in the tree's order.  A node's bound is q.center + |q| radius.  Each query opens the node of the
+    highest bound that it has met: an inner one gives its two children, a leaf its scores, which raise the query's kth
+    score; it stops when no bound reaches that.  Queries that open the same node at the same turn do it together."""
     norms = np.sqrt((queries.astype(float) ** 2).sum(axis=1))
-    leaves: list[Node] = []
-    bounds: list[np.ndarray] = []
-
-    def descend(node: Node, active: np.ndarray) -> None:
-        bound = (queries[active] @ node.center + norms[active] * node.radius) * (1 + 1e-9) + 1e-6 + norms[active] * 1e-9
-        reach = bound >= floor[active]
-        if not reach.any():
-            return
-        if node.children:
-            for child in node.children:
-                descend(child, active[reach])
-        else:
-            row = np.full(len(queries), -np.inf)
-            row[active[reach]] = bound[reach]
-            leaves.append(node)
-            bounds.append(row)
-
-    descend(root, np.arange(len(queries)))
-    if not leaves:
-        return
-    bound = np.array(bounds).T
-    visit = np.argsort(-bound, axis=1, kind="stable")
+    bounds = np.full((len(queries), len(nodes)), -np.inf)
+
+    def enter(node: Node, who: np.ndarray) -> None:
+        away = queries[who] @ node.center + norms[who] * node.radius
+        bounds[who, node.number] = away + np.abs(away) * 1e-9 + norms[who] * 1e-9 * (1 + np.abs(node.center).max()) + 1e-6
+
     kth = floor.astype(np.int64).copy()
     kept_ids = [np.zeros(0, np.int64)] * len(queries)
     kept = [np.zeros(0, np.int64)] * len(queries)
-    for turn in range(len(leaves)):
-        leaf = visit[:, turn]
-        go = bound[np.arange(len(queries)), leaf] >= kth
-        if not go.any():
-            break
-        for at in np.unique(leaf[go]):
-            node, who = leaves[at], np.flatnonzero(go & (leaf == at))
+    scored, active = 0, np.arange(len(queries))
+    enter(nodes[0], active)
+    while len(active):
+        best_node = bounds[active].argmax(axis=1)
+        go = bounds[active, best_node] >= kth[active]
+        active, best_node = active[go], best_node[go]
+        for at in np.unique(best_node):
+            node, who = nodes[at], active[best_node == at]
+            bounds[who, at] = -np.inf
+            if node.children:
+                for child in node.children:
+                    enter(child, who)
+                continue
             scores = products(queries[who], data[node.lo : node.hi])
+            scored += scores.size
             scores[query_ids[who][:, None] == ids[node.lo : node.hi]] = LOWEST
             for q, row in zip(who.tolist(), scores, strict=True):
                 good = np.flatnonzero((row >= kth[q]) & (row > LOWEST))
@@ -104,61 +114,54 @@ def search_tree(root: Node, data: np.ndarray, ids: np.ndarray, queries: np.ndarr
                     kept_ids[q], kept[q] = all_ids[top], all_scores[top]
                     if len(top) == k:
                         kth[q] = max(kth[q], kept[q][-1])
-    yield np.repeat(query_ids, [len(x) for x in kept]), np.concatenate(kept_ids), np.concatenate(kept)
+    return np.repeat(np.arange(len(queries)), [len(x) for x in kept]), np.concatenate(kept_ids), np.concatenate(kept), scored
+
+
+def rounds(shards: int) -> list[tuple[int, int]]:
+    """Ranges of shards: a sixteenth of them, up to a quarter, the rest."""
+    cuts = sorted({0, max(1, shards // 16), max(1, shards // 4), shards})
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
-def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64, id_column: str = "vec_id", vector_column: str = "embedding", shard: int = 8192, block: int = 2048, leaf: int = 256) -> DataFrame:
+def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64, id_column: str = "vec_id", vector_column: str = "embedding", shard: int = 4 << 20, wave: int = 16 << 20, leaf: int = 256) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k highest inner products of floor(scale * x) vectors.
 
-    Queries are the rows where ``is_query`` (a condition on ``id``) holds; its own id is no candidate of a query.
+    Queries are the rows where ``is_query`` (a condition on ``id``) holds; rows with the query's id are no candidates of it.
+    An id may occur on many rows: each is a candidate, and each is a query of its own.
     Vectors that are null, empty or hold null or non-finite components take no part, nor does a null id.
-    A query meets vectors of its own length only.  A score has to fit a 64-bit integer.
+    A query meets vectors of its own length only.  Components and scores beyond 64 bits are an error.
 
-    Each block of queries first searches one shard; the kth scores found there go with the block to all
-    others as floors, where most of the tree is cut by them."""
+    Rows lie in shards of about ``shard`` bytes, each with a ball tree.  Queries pass in waves of about ``wave`` bytes, which
+    go to the shards; shards do not move.  A wave visits the shards in rounds of growing size: what a round finds gives each
+    query's kth score, which goes with the wave into the next round as its floor, and within a task from shard to shard."""
     rows = finite(vectors, id_column, vector_column)
-    whole = lambda data: np.floor(data * scale).astype(np.int64)
-    shards = packed(rows, shard, whole)
-    blocks = packed(rows.where(is_query), block, whole)
-    count = shards.groupBy("dim").agg(F.sort_array(F.collect_list("part")).alias("parts"))  # a number for each shard
-    first = blocks.join(count, "dim").withColumn("shard", F.element_at("parts", F.pmod(F.col("part"), F.size("parts")) + 1))
-
-    def search(rows: Iterator[dict]) -> Iterator[tuple]:
-        at, tree = None, None
-        for row in rows:
-            if at != (row["dim"], row["part"]):
-                at = row["dim"], row["part"]
-                ids, data = unpack(row, "shard", np.int64)
-                root, order = ball_tree(data, leaf)
-                tree = root, np.ascontiguousarray(data[order]), ids[order]
-            query_ids, queries = unpack(row, "query", np.int64)
-            floor = np.frombuffer(row["query_floors"], np.int64) if row.get("query_floors") else np.full(len(query_ids), LOWEST)
-            yield from search_tree(*tree, queries, query_ids, k, floor)
-
-    found = written(each_pair(shards, first.drop("parts"), search, "long"), "found")
-    kth = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
-    rest = first.withColumn("shard", F.explode(F.array_except("parts", F.array("shard")))).drop("parts")
-    rest = with_floors(rest, blocks, kth)
-    return ranked(found.unionByName(each_pair(shards, rest, search, "long")), k)
-
-
-def with_floors(rest: DataFrame, blocks: DataFrame, kth: DataFrame) -> DataFrame:
-    """Each block's floors, in the order of its ids, gathered by block: as many as a block has queries."""
-    import pyarrow as pa
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for dim, part, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), dim, np.int32)), pa.array(np.full(len(ids), part, np.int32)), pa.array(ids)], ["dim", "part", "query_id"])
-
-    listed = blocks.select("dim", "part", "ids").mapInArrow(numbered, "dim int, part int, query_id long")
-    listed = listed.join(kth, "query_id", "left").select("dim", "part", "query_id", F.coalesce("floor", F.lit(LOWEST)).alias("floor"))
-
-    def gather(group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("query_id").to_numpy())
-        row = [[group.column("dim")[0].as_py()], [group.column("part")[0].as_py()], [group.column("floor").to_numpy()[order].tobytes()]]
-        return pa.table([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["dim", "part", "floors"])
-
-    floors = written(listed.groupBy("dim", "part").applyInArrow(gather, "dim int, part int, floors binary"), "floors")
-    return rest.join(floors, ["dim", "part"])
+    as_whole = lambda data: whole(data, scale)
+    shards, parts = packed(rows, shard, as_whole)
+    queries, count = packed(rows.where(is_query), wave, as_whole)
+    found = []
+    for asked in waves(queries, count, np.int64):
+        top, floors = None, {dim: np.full(len(q.ids), LOWEST) for dim, q in asked.items()}
+        for lo, hi in rounds(parts):
+
+            def search(asked: Queries, ids: np.ndarray, data: np.ndarray, memory: dict, floors=floors) -> Iterator[tuple]:
+                """``memory``: each query's k best scores in this task's shards."""
+                dim = data.shape[1]
+                nodes, order = ball_tree(data, leaf)
+                held = memory.setdefault("best", np.full((len(asked.ids), k), LOWEST))
+                for at in range(0, len(asked.ids), 1024):
+                    some = slice(at, at + 1024)
+                    floor = np.maximum(floors[dim][some], held[some].min(axis=1))
+                    who, near, scores, _ = search_tree(nodes, data[order], ids[order], asked.data[some], asked.ids[some], k, floor)
+                    for q in np.unique(who):
+                        held[at + q] = np.sort(np.concatenate((held[at + q], scores[who == q])))[-k:]
+                    yield who + at, near, scores
+
+            here = past_shards(shards.where((F.col("part") >= lo) & (F.col("part") < hi)), asked, np.int64, search, "long", "found")
+            top = here if top is None else top.unionByName(here)
+            if hi < parts:
+                top = written(ranked(top, k).drop("rank"), "top")
+                full = top.groupBy("query_row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+                known = {r.query_row: r.floor for r in full.collect()}  # a wave's queries at most
+                floors = {dim: np.array([known.get(q.first + i, LOWEST) for i in range(len(q.ids))], np.int64) for dim, q in asked.items()}
+        found.append(ranked(top, k))
+    return results(found, rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long"))

@@ -1,8 +1,9 @@
-"""Vector tables as packed shards and query blocks, which the two searches share."""
+"""Vector tables as packed shards, and waves of queries that go past them; both searches share this."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+FOUND = "query_row long, query_id long, vec_id long, score"
+
 
 def finite(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """``id, dim, vector`` (doubles) of the rows whose id is given and whose vector is neither null nor empty
@@ -21,13 +24,14 @@ def finite(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return rows.where((F.size("vector") > 0) & good).select("id", F.size("vector").alias("dim"), "vector")
 
 
-def packed(vectors: DataFrame, rows: int, transform: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """``dim, part, ids, data``: the vectors in parts of about ``rows`` rows, dealt by a hash of the id.
+def packed(vectors: DataFrame, size: int, transform: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[DataFrame, int]:
+    """``dim, part, ids, data``: every row, in parts of about ``size`` bytes, and the number of parts.
 
-    An id that occurs more than once counts once, with the smallest of its vectors in the order of their
-    components."""
-    n = max(1, -(-vectors.count() // rows))
-    dealt = vectors.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    Rows are dealt by where they stand in the input, so neither a repeated id nor a repeated vector makes a part
+    large.  Within a part rows stand by id, then by components."""
+    held = vectors.agg(F.sum(8 * (F.col("dim") + 1))).first()[0] or 0
+    n = max(1, -(-held // size))
+    dealt = vectors.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
 
     def pack(group: pa.Table) -> pa.Table:
         dim, part = group.column("dim")[0].as_py(), group.column("part")[0].as_py()
@@ -35,47 +39,73 @@ def packed(vectors: DataFrame, rows: int, transform: Callable[[np.ndarray], np.n
         data = group.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
         order = np.lexsort((*data.T[::-1], ids)) if len(np.unique(ids)) < len(ids) else np.argsort(ids)
         ids, data = ids[order], data[order]
-        first = np.concatenate(([True], ids[1:] != ids[:-1]))
-        ids, data = ids[first], data[first]
         if transform:
             data = transform(data)
         row = [[dim], [part], [ids.tobytes()], [np.ascontiguousarray(data).tobytes()]]
         return pa.table([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["dim", "part", "ids", "data"])
 
-    return written(dealt.groupBy("dim", "part").applyInArrow(pack, "dim int, part int, ids binary, data binary"), "packed")
+    dealt = dealt.repartition(min(n, 4096), "dim", "part")
+    return written(dealt.groupBy("dim", "part").applyInArrow(pack, "dim int, part int, ids binary, data binary"), "packed"), n
 
 
-def unpack(row: dict, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row[f"{name}_ids"], np.int64)
-    return ids, np.frombuffer(row[f"{name}_data"], kind).reshape(len(ids), row["dim"])
+@dataclass
+class Queries:
+    """The queries of one length in a wave.  ``first``: the wave's number of the first; ``state``: what a task has found so far."""
 
+    first: int
+    ids: np.ndarray
+    data: np.ndarray
 
-def each_pair(shards: DataFrame, blocks: DataFrame, search: Callable[[Iterator[dict]], Iterator[tuple]], score: str) -> DataFrame:
-    """``search`` over pairs of a shard and a block of queries, shard by shard, to ``query_id, vec_id, score``.
 
-    A task holds one shard and one block at a time.  ``search`` gets dicts and yields (query ids, ids, scores)."""
-    blocks = blocks.select("dim", *[F.col(c).alias(f"query_{c}") for c in blocks.columns if c != "dim"])
-    shards = shards.select("dim", "part", F.col("ids").alias("shard_ids"), F.col("data").alias("shard_data"))
-    if "query_shard" in blocks.columns:
-        blocks = blocks.withColumnRenamed("query_shard", "part")
-        met = blocks.join(shards, ["dim", "part"])
-    else:
-        met = blocks.join(shards, "dim")
-    met = met.repartition("dim", "part", "query_part").sortWithinPartitions("dim", "part", "query_part")
+def waves(queries: DataFrame, count: int, kind: type) -> Iterator[dict[int, Queries]]:
+    """Each wave of queries by vector length.  A wave is one part: it comes to the driver and goes to all tasks."""
+    for wave in range(count):
+        out, first = {}, 0
+        for row in queries.where(F.col("part") == wave).orderBy("dim").collect():
+            ids = np.frombuffer(row.ids, np.int64)
+            out[row.dim] = Queries(first, ids, np.frombuffer(row.data, kind).reshape(len(ids), row.dim))
+            first += len(ids)
+        if out:
+            yield out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ({n: batch.column(n)[i].as_py() for n in batch.schema.names} for batch in batches for i in range(batch.num_rows))
-        for columns in search(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
-    return met.mapInArrow(run, f"query_id long, vec_id long, score {score}")
+def past_shards(shards: DataFrame, wave: dict[int, Queries], kind: type, search: Callable, score: str, name: str) -> DataFrame:
+    """``query_row, query_id, vec_id, score``, written: ``search(queries, ids, data, memory)`` over every shard for the wave's
+    queries of its length.  It yields (indexes of queries, ids, scores); ``memory`` lasts as long as the task, shard
+    after shard."""
+    sent = shards.sparkSession.sparkContext.broadcast(wave)  # one wave's bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory: dict[int, dict] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dim = batch.column("dim")[i].as_py()
+                if dim not in sent.value:
+                    continue
+                asked = sent.value[dim]
+                ids = np.frombuffer(batch.column("ids")[i].as_buffer(), np.int64)
+                data = np.frombuffer(batch.column("data")[i].as_buffer(), kind).reshape(len(ids), dim)
+                for who, found, scores in search(asked, ids, data, memory.setdefault(dim, {})):
+                    yield pa.RecordBatch.from_arrays([pa.array(who + asked.first), pa.array(asked.ids[who]), pa.array(found), pa.array(scores)], ["query_row", "query_id", "vec_id", "score"])
+
+    out = written(shards.mapInArrow(run, f"{FOUND} {score}"), name)
+    sent.destroy()
+    return out
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """The k best of each query: highest score first, ties to the smaller id.  A query has k rows a shard at most."""
     order: list[Column] = [F.desc("score"), F.asc("vec_id")]
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(*order))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def results(found: list[DataFrame], empty: DataFrame) -> DataFrame:
+    """``query_id, rank, vec_id, score`` of all waves."""
+    out = empty
+    for f in found:
+        out = out.unionByName(f.select(*out.columns))
+    return out
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
