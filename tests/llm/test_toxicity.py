@@ -4,7 +4,7 @@ from itertools import product
 import numpy as np
 import pytest
 
-from tidepool.llm.toxicity import LETTERS, Language, decode, features_of, held_out, lattice, letter, letter_counts, restore, scores, train
+from tidepool.llm.toxicity import LETTERS, Language, Model, cheapest, decode, features_of, held_out, lattice, letter, letter_counts, regress, restore, scores, spaced_lattice, train
 
 WORDS = "the river stone walks under morning light idiot moron stupid garden open window slow train reads paper".split()
 
@@ -35,23 +35,49 @@ def test_counts():
 
 
 def test_viterbi_equals_all_paths(language):
-    for word in ("1d10t", "st00pppid", "m0r0n", "4$"):
+    cases = [(lattice(w), decode(w, language)) for w in ("1d10t", "st00pppid", "m0r0n", "4$")]
+    cases += [(spaced_lattice(r), cheapest(spaced_lattice(r), language)) for r in ("s l o w", "i d 1 0 t  a", "r.e.a.d s", "t t t h e")]
+    for places, got in cases:
         best = None
-        for path in product(*lattice(word)):
+        for path in product(*places):
             total, a, b = sum(c for _, c in path), 0, 0
             for c in "".join(x for x, _ in path) + " ":
                 total, a, b = total + language.cost[a][b][letter(c)], b, letter(c)
             best = min(best or (9e9, ""), (total, "".join(x for x, _ in path)))
-        assert decode(word, language) == best[1]
+        assert got == best[1]
 
 
 def test_disguises(language):
-    assert restore("You 1d10t, m0r0n! sTuuuupid s t u p i d  m.o.r.o.n", language) == "you idiot, moron! stupid stupid  moron"
+    assert restore("You 1d10t, m0r0n! sTuuuupid s t u p i d  m.o.r.o.n", language) == "you idiot, moron! stupid stupid moron"  # a gap between words is one blank
     clean = "the 12 rivers, 4.0 and 2024-01-02 cost 5 $ or +1 (743) 555-3824 i a m"
     assert restore(clean, language).startswith("the 12 rivers, 4.0 and 2024-01-02 cost 5 $ or +1 (743) 555-3824")
     assert restore("", language) == ""
 
 
+def test_spaced_letters_become_words(language):
+    assert restore("s  t  u  p  i  d", language) == "stupid" == restore("s\tt\tu\tp\ti\td", language)
+    assert restore("you s t u p i d   m o r o n", language) == "you stupid moron"
+    assert restore("1 d 1 0 t", language) == "idiot" and restore("s t u u u u p i d", language) == "stupid"
+    assert restore("d é b i l", language) == "débil"
+    assert restore("1 2 3 4 5", language) == "1 2 3 4 5"
+    assert restore("m o r o n " * 700, language).count("moron") > 600  # as long as it gets
+
+
+def test_a_score_is_what_its_definition_says(spark, language):
+    texts = ["You 1d10t, s t u p i d m0r0n", "the garden", "", None, "idiot/garden/moron idiot", "idiot " * 3000]
+    model = Model(language, {"=idiot": 2.5, "idio": -0.5, "^stup": 1.25, "moron": 0.75, "=garden": -2.0}, -0.4)
+    got = {r.doc_id: r.score for r in scores(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).collect()}
+    for k, text in enumerate(texts):
+        held = {f for w in restore(text or "", language).split() for f in features_of(w)}
+        assert abs(got[k] - 1 / (1 + np.exp(-(model.bias + sum(model.weights.get(f, 0) for f in held))))) < 1e-12
+
+
+def test_regression_separates():
+    rows = [[0, 2], [0], [0, 3], [1, 2], [1], [1, 3]] * 20
+    w, b = regress(rows, np.array([1, 1, 1, 0, 0, 0] * 20, float), 4, {0: 1.0, 1: 1.0})
+    assert w[0] + b > 1 and w[1] + b < -1 and abs(w[2]) < 1 and abs(w[3]) < 1
+
+
 def test_features():
     assert features_of("it") == [] and "=river" in features_of("river,") and "^riv" in features_of("River".lower())
 
