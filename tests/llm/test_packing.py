@@ -54,5 +54,15 @@ def test_pieces_equal_the_tokenizer(spark):
     assert len(at) <= sum(at.values()) // 1024 + 2
 
 
+def test_equal_rows_go_to_all_pools(spark):
+    docs = spark.range(0, 300, 1, 4).selectExpr("cast(null as long) as doc_id", "'the same text' as text", "id as piece", "1 as start", "'x' as pool")
+    got = best_fit_packing(docs, PATH, pool=60).collect()
+    pools = {}
+    for r in got:
+        pools[r.sequence_id >> 32] = pools.get(r.sequence_id >> 32, 0) + 1
+    assert sum(pools.values()) == 300 and len(pools) == 6 and max(pools.values()) < 2 * 60
+    assert got[0].asDict().keys() == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+
+
 def test_empty_table(spark):
     assert best_fit_packing(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []

@@ -2,6 +2,7 @@ import random
 
 import xxhash
 
+from tidepool.llm import simhash
 from tidepool.llm.simhash import blocks_for, fingerprint, near_duplicates
 
 
@@ -51,15 +52,25 @@ def test_fingerprint_of_edge_texts():
         assert fingerprint(text) == brute_fingerprint(text)
 
 
-def test_components_equal_brute_force_in_any_split(spark):
+def test_components_equal_brute_force_in_any_split(spark, monkeypatch):
     rows = corpus()
     docs = spark.createDataFrame([(d, t, "x", 7) for d, t in rows], "doc_id long, text string, component_id string, fp int")
     want = brute(rows)
-    for blocks, tile in ((None, 2048), (6, 8), (7, 5)):
-        got = near_duplicates(docs, blocks=blocks, tile=tile).collect()
+    for blocks, tile, hot, few in ((None, 2048, 10**6, 10**6), (6, 8, 20, 10**6), (7, 5, 10, 40), (6, 5, 10**6, 0)):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", few)
+        got = near_duplicates(docs, blocks=blocks, tile=tile, hot=hot).collect()
         assert sorted((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got) == want
 
 
+def test_a_hot_fingerprint_does_not_gather(spark):
+    """Nine rows in ten are copies: joining their component to them leaves no task with over twice the usual share."""
+    docs = spark.range(0, 4000, 1, 8).selectExpr("id as doc_id", "if(id % 10 = 0, concat('text number ', id, ' stands alone'), 'the same words again and again') as text")
+    out = near_duplicates(docs, hot=500)
+    sizes = sorted(r["count"] for r in out.selectExpr("spark_partition_id() as p").groupBy("p").count().collect())
+    assert sum(sizes) == 4000 and sizes[-1] <= 2 * sorted([s for s in sizes if s > 100])[len([s for s in sizes if s > 100]) // 2]
+    assert out.where("doc_id % 10 <> 0").select("component_id").distinct().count() == 1
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

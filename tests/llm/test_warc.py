@@ -22,23 +22,25 @@ ROWS = [
 
 
 def brute(rows, least=0):
+    """Rows in the order of the table: of equal payloads the first row of the smallest page_id is the response."""
     first = {}
-    for page_id, _, html, _ in rows:
-        if page_id is not None:
-            first[html or ""] = min(first.get(html or "", page_id), page_id)
+    for at, (page_id, _, html, _) in enumerate(rows):
+        key = (page_id is None, page_id or 0, at)
+        first[html or ""] = min(first.get(html or "", key), key)
     out = []
-    for page_id, _, html, _ in rows:
+    for at, (page_id, _, html, _) in enumerate(rows):
         raw = (html or "").encode()
         digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
-        at = first.get(html or "", page_id) if len(raw) >= least else page_id
-        out.append((page_id, len(raw), digest, "response" if at == page_id else "revisit", None if at == page_id else at))
+        best = first[html or ""]
+        again = len(raw) >= least and best[2] != at
+        out.append((page_id, len(raw), digest, "revisit" if again else "response", (None if best[0] else best[1]) if again else None))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("least", "most"), [(0, 1 << 20), (4, 4096)])
-def test_round_trip(spark, tmp_path, least, most):
-    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string, digest int").repartition(3)
-    archives = write_archives(pages, str(tmp_path / "w"), least_bytes=least, held=2048, most=most)
+@pytest.mark.parametrize(("least", "most", "hot", "few"), [(0, 1 << 20, 10**6, 10**6), (4, 4096, 10**6, 10**6), (0, 4096, 50, 0), (4, 4096, 10**6, 0)])
+def test_round_trip(spark, tmp_path, least, most, hot, few):
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string, digest int")
+    archives = write_archives(pages, str(tmp_path / "w"), least_bytes=least, held=2048, most=most, hot=hot, few=few)
     got = read_archives(archives).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == brute(ROWS, least)
     assert {r.payload.decode() for r in got if r.record_type == "response"} == {h or "" for _, _, h, _ in ROWS}

@@ -119,16 +119,19 @@ def fits_reset(fits: list[int], x: int) -> None:
             fits[y] = y
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str, size: int = 1024, end: int = 2, keep_ids: bool = False, pool: int = 65_536) -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer: str, size: int = 1024, end: int = 2, keep_ids: bool = False, pool: int = 131_072) -> DataFrame:
     """The pieces of ``docs`` with ``sequence_id`` and ``offset``.
 
-    Pieces are dealt by a hash into pools of about ``pool`` documents, however documents are distributed over
-    files or keys; each pool is packed by itself from its lengths, and leaves one sequence that is not full."""
-    n = max(1, -(-docs.count() // pool))
-    cut = pieces(docs, tokenizer, size, end, keep_ids).withColumn("pool", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)).cast("int"))
+    Pieces are dealt by where they stand into pools of about ``pool`` pieces, so equal rows, ids or lengths do not gather; each
+    pool is packed by itself from its lengths, and leaves one sequence that is not full.  The number of pools follows from
+    the number of documents and of their characters.  Documents that share an id are packed each for itself; other columns
+    of ``docs`` are not looked at."""
+    rows, letters = docs.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+    n = max(1, -(-(rows + (letters or 0) // (3 * size)) // pool))
+    cut = pieces(docs, tokenizer, size, end, keep_ids).withColumn("pool", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["doc_id", "piece", "start", "ids_crc32"], kind="stable", ignore_index=True)
         sequence, offset = pack(pdf["length"].to_numpy(), size)
         pdf["sequence_id"], pdf["offset"] = sequence + (pdf["pool"].to_numpy(np.int64) << 32), offset
         return pdf.drop(columns="pool")

@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import BROADCAST_ROWS, map_batches, texts_of, written
+from .common import BROADCAST_ROWS, HOT, spread_join, texts_of, written
 from .components import components
 
 BITS = 64
 SEED = 42
+SALTS = 32
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -36,26 +37,16 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int((counts * 2 > n).astype(np.uint64) @ (np.uint64(1) << np.arange(BITS, dtype=np.uint64)))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's bits as a long)."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = np.array([fingerprint(t, shingle) for t in texts_of(batch)], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
-
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
-
-
-def with_fingerprint(docs: DataFrame, name: str, shingle: int = 4) -> DataFrame:
-    """``docs`` and its fingerprints in a column of this name."""
-    columns, at = docs.columns, docs.columns.index("text")
+def fingerprints(docs: DataFrame, shingle: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` (the fingerprint's bits as a long), and the columns ``keep``."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t, shingle) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*columns, name])
+            values = np.array([fingerprint(t, shingle) for t in texts_of(batch, "_text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values)], ["doc_id", *keep, "fp"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields[:-1], StructField("fp", LongType())]))
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:
@@ -102,14 +93,25 @@ def links(reps: DataFrame, distance: int = 4, blocks: int | None = None, tile: i
 
     Rows meet in buckets (mask, masked bits).  In a bucket of up to ``tile`` rows all pairs are verified and a
     spanning forest of the links is kept.  A larger bucket is cut into tiles, and each pair of tiles is a
-    bucket of its own, so none holds over twice ``tile`` rows and no pair is lost."""
+    bucket of its own, so none holds over twice ``tile`` rows and no pair is lost.
+
+    Buckets of one row are left out while the list of the others is short enough to send to all tasks.  Beyond, only
+    the large buckets are looked up, for which rows are salted, so that no bucket gathers before it is cut."""
     masks = block_masks(distance, blocks or blocks_for(reps.count(), distance))
     spread = reps.select("fp", "node", F.posexplode(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])).alias("mask", "bits"))
     spread = spread.select("fp", "node", "mask", F.col("fp").bitwiseAND(F.col("bits")).alias("key"))
     sizes = written(spread.groupBy("mask", "key").count().where("count > 1"), "sizes")
-    sizes = sizes.select("mask", "key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    small = sizes.count() <= BROADCAST_ROWS
-    met = spread.join(F.broadcast(sizes) if small else sizes, ["mask", "key"])
+    tiles = F.ceil(F.col("count") / tile).cast("int").alias("tiles")
+    if sizes.count() <= BROADCAST_ROWS:
+        met = spread.join(F.broadcast(sizes.select("mask", "key", tiles)), ["mask", "key"])
+    else:
+        large = sizes.where(F.col("count") > tile).select("mask", "key", tiles)
+        if large.count() <= BROADCAST_ROWS:
+            met = spread.join(F.broadcast(large), ["mask", "key"], "left")
+        else:
+            copies = large.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+            met = spread.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(copies, ["mask", "key", "salt"], "left")
+        met = met.withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     pairs = F.when(F.col("tiles") == 1, F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("own")).alias("lo"), F.greatest(t, F.col("own")).alias("hi")))
@@ -154,24 +156,24 @@ def links(reps: DataFrame, distance: int = 4, blocks: int | None = None, tile: i
     return met.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int | None = None, tile: int = 2048) -> DataFrame:
-    """``doc_id, fp, component_id, root``: one row per row of ``docs``; ``root`` is a fingerprint that stands for the
-    component.
+def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int | None = None, tile: int = 2048, keep: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
+    """``doc_id, fp, component_id, root`` and the columns ``keep``: one row per row of ``docs``; ``root`` is a fingerprint that
+    stands for the component.
 
     Links hold between fingerprints that differ in ``distance`` bits or fewer; a component's id is the smallest
     doc_id that links reach.  Texts that are null, empty or white space have fingerprint zero and link like
     any other.  Copies share a fingerprint and count as one node.  A null doc_id is never a component's id,
-    unless nothing else is in the component."""
-    fps = written(fingerprints(docs, shingle), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    unless nothing else is in the component.  Rows of a fingerprint that over ``hot`` rows have do not gather."""
+    fps = written(fingerprints(docs, shingle, keep), "fingerprints")
+    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     # Nodes are the fingerprints themselves; the smallest doc_id of a component follows by a minimum over it.
     reps = written(reps, "reps")
-    stars = components(links(reps.select("fp", F.col("fp").alias("node")), distance, blocks, tile))
+    stars = components(links(reps.select("fp", F.col("fp").alias("node")), distance, blocks, tile), hot)
     stars = stars.select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    rooted = reps.join(stars, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(ids, "root").select("fp", "component_id", "root")
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id", "root")
+    rooted = written(reps.join(stars, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n"), "rooted")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of = written(spread_join(rooted.withColumnRenamed("n", "rows"), ids, "root", hot).select("fp", "component_id", "root", F.col("rows").alias("n")), "of")
+    return spread_join(fps, of, "fp", hot).select("doc_id", *keep, "fp", "component_id", "root")
 
 
 def hex_fingerprint(column):

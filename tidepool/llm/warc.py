@@ -15,7 +15,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, shared_folder, written
+from .common import BROADCAST_ROWS, HOT, shared_folder, spread_join, written
 
 #: Fixed values of the formats: the skippable frame that holds a dictionary, and a dictionary's own magic number.
 SKIPPABLE, DICTIONARY = 0x184D2A5D, b"\x37\xa4\x30\xec"
@@ -124,26 +124,35 @@ def read_archive(fs: FileSystem, path: str) -> Iterator[bytes]:
             raise ValueError(f"{path}: ends within a record")
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, size: int = 32_768, held: int = 2 << 20, most: int = 256 << 20, level: int = 3) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, size: int = 32_768, held: int = 2 << 20, most: int = 256 << 20, level: int = 3, hot: int = HOT, few: int = BROADCAST_ROWS) -> DataFrame:
     """Writes every page as a record and returns the archives: ``path, records, bytes``.
 
-    Of pages with equal payloads of ``least_bytes`` or more, those with the smallest page_id are responses and
-    others revisit it.  Which payloads repeat is found from digests alone; the pages themselves are read again,
-    and are not shuffled unless the list of repeated payloads is too long to send to all tasks.
-    An archive's dictionary is built from its first ``held`` bytes of records.  Files are written under names of
-    their own by each attempt of a task, so a task that runs again overwrites nothing; the returned table names
-    the files that count.  Null html is an empty payload; a null page_id is never referred to unless no other is there."""
+    Of pages with equal payloads of ``least_bytes`` or more, that with the smallest page_id is the response and
+    others revisit it; if several rows share that page_id, the one that stands first in the table is the response and the
+    rest, too, revisit its id.  Which payloads repeat is found from digests alone; the pages themselves are read again, and
+    are not shuffled unless the list of repeated payloads is too long to send to all tasks, nor are the pages of a payload
+    that over ``hot`` pages have.  An archive's dictionary is built from its first ``held`` bytes of records.  Files are
+    written under names of their own by each attempt of a task, so a task that runs again overwrites nothing; the returned
+    table names the files that count.  Null html is an empty payload; a null page_id is never referred to unless no other
+    is there.  Other columns are not looked at."""
     spark = pages.sparkSession
     folder = folder or shared_folder(spark)
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    html = F.coalesce(F.col("html"), F.lit(""))
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.monotonically_increasing_id().alias("place"))
     digest = F.unhex(F.sha1(F.encode("html", "utf-8")))
-    long_enough = F.octet_length("html") >= least_bytes
-    twice = pages.where(long_enough).select("page_id", digest.alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
-    twice = written(twice.where("n > 1").select("digest", "first", F.lit(True).alias("repeats")), "repeated")
-    small = twice.count() <= BROADCAST_ROWS
-    marked = pages.withColumn("digest", F.when(long_enough, digest)).join(F.broadcast(twice) if small else twice, "digest", "left")
-    revisit = F.coalesce("repeats", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    marked = marked.select("page_id", "url", "html", "first", revisit.alias("revisit"))
+    # payloads that are too short to be referred to get a digest of their own
+    pages = pages.withColumn("digest", F.when(F.octet_length("html") >= least_bytes, digest).otherwise(F.encode(F.col("place").cast("string"), "utf-8")))
+    first = F.min(F.struct(F.isnull("page_id").alias("no_id"), "page_id", "place"))
+    twice = pages.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).where("n > 1")
+    twice = written(twice.select("digest", "n", F.col("first.page_id").alias("first"), F.col("first.place").alias("at")), "repeated")
+    if twice.count() <= few:
+        marked = pages.join(F.broadcast(twice.drop("n")), "digest", "left")
+    else:
+        # pages by their digest's n: one list of all digests, so that single pages need no second look
+        every = pages.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
+        every = written(every.select("digest", "n", F.col("first.page_id").alias("first"), F.col("first.place").alias("at")), "digests")
+        marked = spread_join(pages, every, "digest", hot)
+    marked = marked.select("page_id", "url", "html", "first", (F.col("at").isNotNull() & (F.col("at") != F.col("place"))).alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:/") else f"file://{folder}")
