@@ -11,7 +11,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, written
+from .common import BROADCAST_ROWS, shared_folder, written
 
 
 @dataclass(frozen=True)
@@ -114,64 +114,105 @@ def fewest(query: frozenset[frozenset[str]]) -> Query:
     return frozenset(x for x in query if not any(y < x for y in query))
 
 
-def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """``trigram, doc_id`` for the trigrams that the rules ask for."""
-    low = docs.select("doc_id", F.lower("text").alias("low"))
-    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]))
-    return low.select("doc_id", F.explode(held).alias("trigram"))
+BUCKET = 1 << 15
+SALTS = 16
+
+
+def number(doc_id: Column, size: int) -> Column:
+    """A document's number in an index of ``size`` numbers.  Two documents may share one; then both are candidates if one is."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(size))
+
 
+def write_index(docs: DataFrame, trigrams: list[str], size: int) -> DataFrame:
+    """The posting lists of these trigrams, written by trigram: ``trigram, bucket, list``.
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
-    """``doc_id, rules``: the indexed rules whose trigram queries the document's postings satisfy; None if no rule is
-    indexed.  Rows that share a doc_id share their postings, so each is a candidate if one is."""
+    ``list`` holds the numbers, within the bucket, of the documents whose lower-cased text holds the trigram; a bucket has
+    ``BUCKET`` numbers, so no list is longer."""
+    low = docs.select(number(F.col("doc_id"), size).alias("number"), F.lower("text").alias("low"))
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]))
+    rows = low.select("number", F.explode(held).alias("trigram"))
+    rows = rows.select("trigram", F.floor(F.col("number") / BUCKET).cast("int").alias("bucket"), (F.col("number") % BUCKET).cast("int").alias("at"))
+    lists = rows.groupBy("trigram", "bucket").agg(F.collect_set("at").alias("list"))
+    path = f"{shared_folder(docs.sparkSession)}/postings"
+    lists.write.partitionBy("trigram").parquet(path)
+    return docs.sparkSession.read.schema("trigram string, bucket int, list array<int>").parquet(path)
+
+
+def look_up(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
+    """``number, rules``: the rules whose trigram queries the posting lists satisfy.  Within a bucket the lists of each AND are
+    intersected and those of an OR united."""
+    lists = index.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "list"))).alias("lists"))  # a list for each trigram asked for
+    none = F.array().cast("array<int>")
+    one = lambda t: F.coalesce(F.try_element_at("lists", F.lit(t)), none)
+    hit = lambda kind: lambda at: F.struct(at.alias("at"), F.lit(kind).alias("kind"))
+    hits = []
+    for kind, query in queries.items():
+        ands = [reduce(F.array_intersect, [one(t) for t in sorted(a)]) for a in sorted(query, key=sorted)]
+        hits.append(F.transform(reduce(F.array_union, ands), hit(kind)))
+    rows = lists.select("bucket", F.explode(F.concat(*hits)).alias("hit"))
+    rows = rows.select((F.col("bucket").cast("long") * BUCKET + F.col("hit.at")).alias("number"), "hit.kind")
+    return rows.groupBy("number").agg(F.collect_set("kind").alias("rules"))  # as many as there are rules at most
+
+
+def candidates(docs: DataFrame, rules: tuple[Rule, ...], size: int) -> DataFrame | None:
+    """``number, rules`` of the documents that the indexed rules have to be run on; None if no rule is indexed."""
     asked = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     if not asked:
         return None
     trigrams = sorted(set().union(*(t for q in asked.values() for t in q)))
-    lists = postings(docs, trigrams).groupBy("doc_id").agg(F.collect_set("trigram").alias("held"))  # as many as there are trigrams at most
+    return look_up(write_index(docs, trigrams, size), asked)
 
-    def holds(query: Query) -> Column:
-        ands = [reduce(Column.__and__, [F.array_contains("held", t) for t in sorted(a)]) for a in sorted(query, key=sorted)]
-        return reduce(Column.__or__, ands)
 
-    kinds = F.array_compact(F.array(*[F.when(holds(q), F.lit(k)) for k, q in asked.items()]))
-    return written(lists.select("doc_id", kinds.alias("rules")).where(F.size("rules") > 0), "candidates")
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def matches(text: Column, rule: Rule, order: int) -> Column:
+def matches(text: Column, rule: Rule, order: int, block: int = 128) -> Column:
     """``array<struct<start, order, end>>`` of a rule's matches, leftmost and not overlapping, in code points.
 
     Each match is put between marks, of which the text itself has none; the pieces between marks are then gaps and
-    matches in turn, and their lengths give the places."""
-    pieces = F.split(F.regexp_replace(text, f"(?:{rule.pattern})", f"{MARK}$0{MARK}"), MARK, -1)
-    none = F.array().cast("array<struct<start:bigint,order:int,end:bigint>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("hit"), none.alias("found"))
+    matches in turn, and their lengths give the places: sums of whole blocks of pieces, then sums within a block, so
+    that a text of very many matches costs little more for each of them."""
+    nothing = F.lit(0).cast("long")
+    plus = lambda a, b: a + b
+
+    def places(pieces: Column) -> Column:
+        lengths = F.transform(pieces, lambda p: F.length(p).cast("long"))
+        blocks = let(lengths, lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / block).cast("int")), lambda k: F.slice(all_, k * block + 1, F.lit(block))))
+        return let(blocks, lambda bs: let(ends(bs), lambda before: F.flatten(F.transform(bs, lambda b, k: F.transform(b, lambda n, i: let(F.get(before, k) + F.aggregate(F.slice(b, F.lit(1), i), nothing, plus), lambda at: F.struct(at.alias("start"), F.lit(order).alias("order"), (at + n).alias("end"), (k * block + i).alias("i"))))))))
+
+    def ends(blocks: Column) -> Column:
+        """What stands before each block."""
+        return F.aggregate(blocks, F.array(nothing), lambda out, b: F.concat(out, F.array(F.element_at(out, -1) + F.aggregate(b, nothing, plus))))
 
-    def step(state: Column, piece: Column) -> Column:
-        end = state["at"] + F.length(piece)
-        long_enough = F.length(F.regexp_extract(piece, rule.pattern, rule.group)) >= rule.least
-        span = F.struct(state["at"].alias("start"), F.lit(order).alias("order"), end.alias("end"))
-        found = F.when(state["hit"] & long_enough, F.concat(state["found"], F.array(span))).otherwise(state["found"])
-        return F.struct(end.alias("at"), (~state["hit"]).alias("hit"), found.alias("found"))
+    def found(pieces: Column) -> Column:
+        good = lambda s: (s["i"] % 2 == 1) & (F.length(F.regexp_extract(F.get(pieces, s["i"]), rule.pattern, rule.group)) >= rule.least)
+        return F.transform(F.filter(places(pieces), good), lambda s: F.struct(s["start"], s["order"], s["end"]))
 
-    return F.aggregate(pieces, start, step, lambda s: s["found"])
+    return let(F.split(F.regexp_replace(text, f"(?:{rule.pattern})", f"{MARK}$0{MARK}"), MARK, -1), found)
 
 
 def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``doc_id, spans``: for each row the secrets in its whole text, ``array<struct<kind, start, end>>`` by start,
     then in the order of the rules.  Null texts count as empty.
 
-    Texts are read twice: once for the postings, once to verify.  The candidates go to the texts, not the texts to the
-    candidates, unless there are too many of them to send to all tasks.  A rule without mandatory trigrams is run on
-    all texts."""
+    Texts are read twice: once for the index, once to verify.  The candidates go to the texts, not the texts to the
+    candidates, unless there are too many of them to send to all tasks; then texts are salted, so that rows of one id do not
+    gather.  A rule without mandatory trigrams is run on all texts."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    found = candidates(docs, rules)
+    size = max(BUCKET, 8 * docs.count())
+    found = candidates(docs, rules, size)
     if found is None:
         docs = docs.withColumn("rules", F.array().cast("array<string>"))
     else:
-        found = found.withColumnRenamed("doc_id", "id")
-        small = found.count() <= BROADCAST_ROWS
-        docs = docs.join(F.broadcast(found) if small else found, F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id")
+        found = written(found, "candidates")
+        docs = docs.withColumn("number", number(F.col("doc_id"), size))
+        if found.count() <= BROADCAST_ROWS:
+            docs = docs.join(F.broadcast(found), "number", "left")
+        else:
+            found = found.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+            docs = docs.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")).join(found, ["number", "salt"], "left")
     # A mark in the text becomes another character that no rule mentions: places stay.
     docs = docs.withColumn("text", F.when(F.contains("text", F.lit(MARK)), F.translate("text", MARK, "\x02")).otherwise(F.col("text")))
     none = F.array().cast("array<struct<start:bigint,order:int,end:bigint>>")
