@@ -6,14 +6,14 @@ Parquet and read again as the next one's docs.  All but the last return the colu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import pii, toxicity
 from tidepool.llm.common import table, written
 from tidepool.llm.packing import best_fit_packing
 from tidepool.llm.queries import tokenizer_path
-from tidepool.llm.simhash import near_duplicates, with_fingerprint
+from tidepool.llm.simhash import near_duplicates
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +32,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     of 200 words that links 7 % of the pairs of 5-word Jaccard 0.81 and 30 % of those of 0.90 (300 pairs each), so most
     edited copies of that likeness stay.
 
-    Where ids are unique, the ids that stay are all that is needed.  Where some repeat or are null, the row itself
-    is looked up by its fingerprint, and one row of each group stays."""
-    groups = written(near_duplicates(docs), "groups")
-    if not groups.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
-        stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stays"))
-        return docs.join(stay, F.col("doc_id").cast("long") == F.col("_stays"), "left_semi")
-    marked = with_fingerprint(docs, "_fp").join(groups.select(F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct(), "_fp")
-    rank = F.row_number().over(Window.partitionBy("_root").orderBy(F.asc_nulls_last("doc_id"), "text"))
-    return marked.withColumn("_rank", rank).where("_rank = 1").select(*docs.columns)
+    Rows are told apart by where they stand in ``docs``, a table that is read again as it is, so ids may repeat or be null:
+    of each group the row with the smallest id stays, a null last, and of several the first.  Only places, ids and
+    fingerprints are grouped; texts meet the places that stay."""
+    placed = docs.withColumn("_place", F.monotonically_increasing_id())
+    groups = near_duplicates(placed, keep=("_place",))
+    best = groups.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "_place")).alias("best"))
+    stay = written(best.select(F.col("best._place").alias("_place")), "stay")
+    return placed.join(stay, "_place", "left_semi").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
