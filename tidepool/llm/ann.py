@@ -119,7 +119,7 @@ def chosen(hits: np.ndarray, votes: int, least: int) -> np.ndarray:
     return np.arange(len(hits))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 32, hashes: int = 8, width: float = 2.0, probes: int = 100, votes: int = 7, least: int = 800, id_column: str = "vec_id", vector_column: str = "embedding", shard: int = 16 << 20, wave: int = 32 << 20) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 32, hashes: int = 8, width: float = 2.0, probes: int = 100, votes: int = 7, least: int = 800, id_column: str = "vec_id", vector_column: str = "embedding", shard: int = 8 << 20, wave: int = 32 << 20) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k largest cosines found for each query.
 
     Queries are the rows where ``is_query`` (a condition on ``id``) holds; rows with the query's id are no candidates of it.

@@ -44,7 +44,7 @@ def packed(vectors: DataFrame, size: int, transform: Callable[[np.ndarray], np.n
         row = [[dim], [part], [ids.tobytes()], [np.ascontiguousarray(data).tobytes()]]
         return pa.table([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["dim", "part", "ids", "data"])
 
-    dealt = dealt.repartition(min(n, 4096), "dim", "part")
+    dealt = dealt.repartition(min(4 * n, 4096), "dim", "part")
     return written(dealt.groupBy("dim", "part").applyInArrow(pack, "dim int, part int, ids binary, data binary"), "packed"), n
 
 
