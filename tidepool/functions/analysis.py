@@ -167,23 +167,39 @@ class Analyzer:
         return n, [(s, e, sorted(fs)) for (s, e), fs in sorted(spans.items())]
 
 
-def graph_occurs(positions: int, arcs: list[tuple[int, int, list[str]]], title: list[Arc], title_positions: int) -> bool:
-    """Whether some path through the phrase reads along some path through the title."""
+#: So many places and so many comparisons a phrase may take in one title.
+MAX_STATES = MAX_WORK = 65_536
+
+
+def graph_occurs(positions: int, arcs: list[tuple[int, int, list[str]]], title: list[Arc], title_positions: int, most_states: int = MAX_STATES, most_work: int = MAX_WORK) -> bool | None:
+    """Whether some path through the phrase reads along some path through the title; None if that takes too much work to tell.
+
+    A place is a node of the phrase with one of the title; comparing an arc of each is a unit of work."""
     leaving: dict[int, list[tuple[int, set[str]]]] = {}
     for s, e, alternatives in arcs:
         leaving.setdefault(s, []).append((e, set(alternatives)))
     there: dict[int, list[tuple[int, str]]] = {}
     for f, s, e in title:
         there.setdefault(s, []).append((e, f))
-    todo = [(0, at) for at in range(title_positions + 1)]
-    seen = set(todo)
-    while todo:
-        node, at = todo.pop()
-        if node == positions:
-            return positions > 0
-        for end, alternatives in leaving.get(node, ()):
-            for stop, f in there.get(at, ()):
-                if f in alternatives and (end, stop) not in seen:
-                    seen.add((end, stop))
-                    todo.append((end, stop))
+    seen: set[tuple[int, int]] = set()
+    work = 0
+    first = leaving.get(0, ())
+    for start in range(title_positions + 1):
+        if positions and not any(f in alternatives for _, alternatives in first for _, f in there.get(start, ())):
+            continue  # a start that no first arc fits is no place
+        todo = [(0, start)]
+        while todo:
+            node, at = todo.pop()
+            if node == positions:
+                return positions > 0
+            for end, alternatives in leaving.get(node, ()):
+                for stop, f in there.get(at, ()):
+                    work += 1
+                    if work > most_work:
+                        return None
+                    if f in alternatives and (end, stop) not in seen:
+                        if len(seen) >= most_states:
+                            return None
+                        seen.add((end, stop))
+                        todo.append((end, stop))
     return False

@@ -45,15 +45,16 @@ def sequence_of(text: Column, analyzer: Analyzer) -> Column:
     words = tokens(text, analyzer.punctuation)
 
     def feature(token: Column, i: Column, all_: Column) -> Column:
+        """What is looked up least comes last: the length says of most tokens that they are no year."""
         before, after = F.get(all_, i - 1), F.get(all_, i + 1)
         context = before.isin(*MARKERS, *analyzer.number_context) | (after == "/")
-        number = token.rlike("^[0-9]*\\.?[0-9]*$") & token.rlike("[0-9]")
-        year = token.rlike("^(19|20)[0-9]{2}$") & ~F.coalesce(context, F.lit(False))
+        year = (F.length(token) == 4) & token.rlike("^(19|20)[0-9]{2}$") & ~F.coalesce(context, F.lit(False))
         generic = F.concat(F.lit("term:"), token)
-        word = generic
-        if analyzer.synonyms:
-            table = F.create_map(*[F.lit(x) for pair in sorted(analyzer.synonyms.items()) for x in pair])
-            word = F.coalesce(F.try_element_at(table, token), generic)
+        if not analyzer.synonyms:
+            return F.when(year, F.concat(F.lit("year:"), token)).otherwise(generic)
+        number = token.rlike("^[0-9]*\\.?[0-9]*$") & token.rlike("[0-9]")
+        table = F.create_map(*[F.lit(x) for pair in sorted(analyzer.synonyms.items()) for x in pair])
+        word = F.coalesce(F.try_element_at(table, token), generic)
         return F.when(year, F.concat(F.lit("year:"), token)).when(number | token.isin(*MARKERS), generic).otherwise(word)
 
     return F.transform(F.array(words), lambda all_: F.transform(all_, lambda t, i: feature(t, i, all_)))[0]

@@ -21,6 +21,10 @@ VIEW = T.StructType([T.StructField("neg", T.ArrayType(T.StringType())), T.Struct
 
 #: So many signatures are looked for in each title before they are exploded.
 FEW_SIGNATURES = 256
+#: Postings of up to so many bytes are sent to the titles.
+BROADCAST_BYTES = 64 << 20
+#: Where every title would meet on one key, it meets on one of so many.
+SALTS = 64
 
 
 def computed(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -55,15 +59,16 @@ def title_views(titles: DataFrame, analyzer: Analyzer, title: str = "title") ->
 
 @F.pandas_udf(T.BooleanType())
 def phrases_hold(required: pd.Series, forbidden: pd.Series, pos_arcs: pd.Series, neg_arcs: pd.Series, positions: pd.Series) -> pd.Series:
-    """Whether all required graphs occur in P-arcs and no forbidden one in N-arcs; null graphs: true."""
+    """Whether all required graphs occur in P-arcs and no forbidden one in N-arcs; null graphs: true.  A graph that takes too much
+    work to tell rejects nothing: a required one counts as there, a forbidden one as not there."""
 
-    def occurs(g, arcs, n) -> bool:
+    def occurs(g, arcs, n) -> bool | None:
         return graph_occurs(g["positions"], [(a["start"], a["end"], list(a["alts"])) for a in g["arcs"]], [(a["feature"], a["start"], a["end"]) for a in arcs], n)
 
     out = []
     for req, forb, pos, neg, n in zip(required, forbidden, pos_arcs, neg_arcs, positions, strict=True):
-        ok = all(occurs(g, pos, n) for g in (req if req is not None else ()))
-        out.append(ok and not any(occurs(g, neg, n) for g in (forb if forb is not None else ())))
+        ok = all(occurs(g, pos, n) is not False for g in (req if req is not None else ()))
+        out.append(ok and not any(occurs(g, neg, n) is True for g in (forb if forb is not None else ())))
     return pd.Series(out, dtype=bool)
 
 
@@ -85,15 +90,21 @@ def with_phrases(rows: DataFrame, analyzer: Analyzer) -> DataFrame:
     return rows.where(phrases_hold(*given, F.coalesce("positions", F.lit(0))))
 
 
+BODY = ("required", "anyof", "forbidden", "required_phrases", "forbidden_phrases")
+
+
 @dataclass(frozen=True)
 class QuerySet:
-    """Compiled and classified queries: ``row_id, query_id, tags, priority, ...``, one row per live copy of a query."""
+    """Compiled and classified queries: ``row_id, query_id, tags, priority, ...``, one row per live copy of a query.
+
+    Rows are kept in the cluster's memory or on its disks until ``release``."""
 
     rows: DataFrame
     rejected: DataFrame
     analyzer: Analyzer
     mask: cover.Mask
     frequency: DataFrame
+    held: tuple[DataFrame, ...] = ()
 
     @classmethod
     def build(cls, queries: DataFrame, vocabulary: Vocabulary | None = None, theta: int = 0, accept_class_d: bool = False, mask: Iterable[str] | None = None, keep: DataFrame | None = None) -> QuerySet:
@@ -114,7 +125,13 @@ class QuerySet:
         refused = (F.col("cost_class") == "D") & ~(negative & F.lit(accept_class_d))
         bad = compiled.where("error is not null").select("row_id", "query_id", "error.kind", "error.pos")
         empty = classed.where(refused).select("row_id", "query_id", F.lit("ClassD").alias("kind"), F.lit(0).alias("pos"))
-        return cls(classed.where(~refused).drop("error", "counted", "proxies"), bad.unionByName(empty), analyzer, top, frequency)
+        rows = classed.where(~refused).drop("error", "counted", "proxies").cache()
+        return cls(rows, bad.unionByName(empty), analyzer, top, frequency, (rows, compiled))
+
+    def release(self) -> None:
+        """Lets go of what is kept; what is asked later is computed again."""
+        for df in self.held:
+            df.unpersist()
 
     def visible(self, scope: str) -> DataFrame:
         """``standard``: without the broad lane's classes C and D; ``with_broad``: all."""
@@ -130,31 +147,52 @@ class QuerySet:
         return self._candidates(title_views(titles.select("title_id", "title"), self.analyzer), self.visible(scope)).select("title_id", "row_id")
 
     def _candidates(self, views: DataFrame, rows: DataFrame) -> DataFrame:
+        """Narrow rows meet by signature.  The signature that every title has is there only if a query has it, and is then salted:
+        titles are dealt to copies of those queries, so they do not gather."""
         sigs = cover.title_signatures(F.col("pos"), F.col("probe"), self.mask)
-        narrow = views.select("title_id", F.explode(F.array_union(sigs, F.array(F.lit(cover.UNIVERSAL)))).alias("sig"))
-        return narrow.join(cover.postings(rows).select("sig", "row_id"), "sig").select("title_id", "row_id").distinct()
+        posted = cover.postings(rows).select("sig", "row_id")
+        narrow = views.select("title_id", F.explode(sigs).alias("sig"))
+        found = narrow.join(posted.where(F.col("sig") != cover.UNIVERSAL), "sig").select("title_id", "row_id").distinct()
+        every = posted.where(F.col("sig") == cover.UNIVERSAL).select("row_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        if every.limit(1).count():
+            dealt = views.select("title_id", F.pmod(F.xxhash64("title_id"), F.lit(SALTS)).cast("int").alias("salt")).distinct()
+            found = found.unionByName(dealt.join(every, "salt").select("title_id", "row_id"))
+        return found
+
+    def posting_bytes(self, rows: DataFrame) -> int:
+        """About how much memory the postings take with all that stands beside them: each signature has a copy of its query."""
+        arrays = [F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)) for c in BODY] + [F.coalesce(F.octet_length(F.to_json("tags")), F.lit(0)), F.coalesce(F.octet_length("query"), F.lit(0))]
+        row = arrays[0]
+        for part in arrays[1:]:
+            row = row + part
+        return rows.agg(F.sum(F.size("signatures") * (2 * row + 256))).first()[0] or 0
 
     def pairs(self, titles: DataFrame, scope: str = "standard", strategy: str = "auto") -> DataFrame:
         """Matching pairs of a title and a live copy, with all columns of both.
 
         ``broadcast``: postings and queries go to the titles, which are not shuffled; of the signatures that a title shares
-        with a query only the first yields the pair; meant for short titles or few queries.  ``shuffle``: titles and postings meet by signature, in narrow
-        rows, and distinct pairs fetch the rest.  ``auto``: by the number of queries.  ``brute``: every pair is tried,
-        as a check of the others."""
+        with a query only the first yields the pair.  They must not be over ``BROADCAST_BYTES``, which is looked at first.
+        ``shuffle``: titles and postings meet by signature, in narrow rows, and distinct pairs fetch the rest.  ``auto``: by
+        the bytes of the postings.  ``brute``: every pair is tried; a check of the others, for tests only."""
         views, rows = title_views(titles, self.analyzer), self.visible(scope)
-        if strategy == "auto":
-            strategy = "broadcast" if rows.count() <= cover.BROADCAST_ROWS else "shuffle"
+        if strategy in ("auto", "broadcast"):
+            size = self.posting_bytes(rows)
+            if strategy == "broadcast" and size > BROADCAST_BYTES:
+                raise ValueError(f"postings of {size} bytes are not sent to all tasks")
+            strategy = "broadcast" if size <= BROADCAST_BYTES else "shuffle"
         if strategy == "brute":
             met = views.join(F.broadcast(rows))
         elif strategy == "broadcast":
             sigs = cover.title_signatures(F.col("pos"), F.col("probe"), self.mask)
-            views = computed(views, _sigs=F.array_union(sigs, F.array(F.lit(cover.UNIVERSAL))))
             known = [r.sig for r in rows.select(F.explode("signatures").alias("sig")).distinct().limit(FEW_SIGNATURES + 1).collect()]
             if len(known) <= FEW_SIGNATURES:  # a long title's other signatures need not be exploded with all its columns
-                views = computed(views.withColumnRenamed("_sigs", "_all"), _sigs=F.array_intersect("_all", F.array(*map(F.lit, known)).cast("array<string>"))).drop("_all")
+                sigs = F.array_intersect(F.array_union(sigs, F.array(F.lit(cover.UNIVERSAL))), F.array(*map(F.lit, known)).cast("array<string>"))
+            elif rows.where(F.array_contains("signatures", F.lit(cover.UNIVERSAL))).limit(1).count():
+                sigs = F.array_union(sigs, F.array(F.lit(cover.UNIVERSAL)))
+            views = computed(views, _sigs=sigs)
             posted = rows.withColumn("sig", F.explode("signatures"))
             met = views.withColumn("sig", F.explode("_sigs")).join(F.broadcast(posted), "sig")
-            met = met.where(F.col("sig") == F.array_min(F.array_intersect("signatures", "_sigs"))).drop("sig", "_sigs")
+            met = met.where((F.size("signatures") == 1) | (F.col("sig") == F.array_min(F.array_intersect("signatures", "_sigs")))).drop("sig", "_sigs")
         else:
             met = self._candidates(views, rows).join(rows, "row_id").join(views, "title_id")
         return with_phrases(met.where(predicate(self.analyzer)), self.analyzer)
@@ -163,6 +201,35 @@ class QuerySet:
         """``title_id, query_id``: each pair once, whatever copies of the query match."""
         return self.filtered(tags).pairs(titles.select("title_id", "title"), scope, strategy).select("title_id", "query_id").distinct()
 
+    def match_lanes(self, titles: DataFrame, include_broad: bool = True, strategy: str = "auto", broad_strategy: str = "auto", broad_prefilter: bool = False, tags: dict | None = None) -> DataFrame:
+        """As ``match``, with the broad lane's queries by a strategy of their own, and without those that nothing in the batch
+        can match if ``broad_prefilter``."""
+        some = self.filtered(tags)
+        out = some.match(titles, "standard", None, strategy)
+        if not include_broad:
+            return out
+        broad = replace(some, rows=some.rows.where(F.col("cost_class").isin("C", "D")))
+        broad = broad.prefiltered(titles) if broad_prefilter else broad
+        return out.unionByName(broad.match(titles, "with_broad", None, broad_strategy)).distinct()
+
+    def bodies(self) -> tuple[QuerySet, DataFrame]:
+        """(one query for each different meaning, named by its ``row_id``; ``row_id, body`` of all live copies)."""
+        body = F.sha2(F.to_json(F.struct(*BODY)), 256)
+        named = self.rows.withColumn("body", body)
+        kept = [c for c in self.rows.columns if c != "row_id"]
+        ones = named.groupBy("body").agg(F.min_by(F.struct(*kept), "row_id").alias("one"), F.min("row_id").alias("row_id")).select("body", "row_id", "one.*")
+        return replace(self, rows=ones), named.select("body", "row_id", "query_id", "tags")
+
+    def match_bodies(self, titles: DataFrame, scope: str = "standard", tags: dict | None = None, strategy: str = "auto") -> DataFrame:
+        """As ``match``, but what many queries say alike is looked for and verified once a title, and told for each of them."""
+        ones, members = self.filtered(tags).bodies()
+        found = ones.pairs(titles.select("title_id", "title"), scope, strategy).select("title_id", "body")
+        return found.join(members.select("body", "query_id"), "body").select("title_id", "query_id").distinct()
+
+    def has_copies(self) -> bool:
+        """Whether a query has several live copies."""
+        return self.rows.groupBy("query_id").count().where("count > 1").limit(1).count() > 0
+
     def newest(self) -> DataFrame:
         """Of each query the newest live copy: what ranking reads."""
         from pyspark.sql import Window

@@ -66,15 +66,17 @@ class Profile:
         return F.when(features[node["feature"]] <= F.lit(node["threshold"]), left).otherwise(right)
 
     def fingerprint(self) -> str:
-        """Identifies what the profile computes: kind, then numbers as little-endian 64-bit words."""
+        """Identifies what the profile computes, in a fixed format: a byte for the kind, then numbers as little-endian 64-bit words,
+        features and kinds of nodes as bytes."""
         word = lambda x: struct.pack("<q", x)
-        data = self.kind.encode() + word(self.base)
-        for name, weight in self.weights:
-            data += word(FEATURES.index(name)) + word(weight)
-        for tree in self.trees:
-            data += word(len(tree))
-            for n in tree:
-                data += word(1) + word(n["value"]) if n["kind"] == "leaf" else word(0) + word(FEATURES.index(n["feature"])) + word(n["threshold"]) + word(n["left"]) + word(n["right"])
+        feature = lambda name: bytes([FEATURES.index(name)])
+        if self.kind == "static":
+            data = b"\0"
+        elif self.kind == "linear":
+            data = b"\1" + word(self.base) + word(len(self.weights)) + b"".join(feature(n) + word(w) for n, w in self.weights)
+        else:
+            node = lambda n: b"\1" + word(n["value"]) if n["kind"] == "leaf" else b"\0" + feature(n["feature"]) + word(n["threshold"]) + word(n["left"]) + word(n["right"])
+            data = b"\2" + word(self.base) + word(len(self.trees)) + b"".join(word(len(t)) + b"".join(map(node, t)) for t in self.trees)
         return f"fnv1a64:{fnv1a64(data):016x}"
 
 
@@ -139,6 +141,9 @@ def load_profiles(text: str) -> dict[str, Profile]:
             profile = Profile("tree_ensemble", _whole(raw.get("base_score", 0)), (), tuple(t for t, _ in trees))
         else:
             raise ProfileError(f"kind {kind!r}")
+        told = raw.get("expected_fingerprint")
+        if told is not None and told != profile.fingerprint():
+            raise ProfileError(f"{name} has the fingerprint {profile.fingerprint()}, not {told}")
         if name == "static_v1" and profile != out["static_v1"]:
             raise ProfileError("static_v1 is fixed")
         out[name] = profile
@@ -190,11 +195,17 @@ def compat_score(boosts: tuple[tuple[str, str, int], ...], priority_key: str = "
 
 
 def scored(query_set, titles: DataFrame, spec: RankSpec | Column, scope: str = "standard", tags: dict | None = None, strategy: str = "auto") -> DataFrame:
-    """``title_id, query_id, score`` of all matches.  A match of any copy counts; the newest copy is scored."""
+    """``title_id, query_id, score`` of all matches.  A match of any copy counts; the newest copy is scored.
+
+    Where no query has several copies, a pair comes once and with all that its score needs; else the distinct pairs fetch
+    that."""
+    score = (spec if isinstance(spec, Column) else spec.score()).alias("score")
+    some = query_set.filtered(tags)
+    if not query_set.has_copies():
+        return some.pairs(titles.select("title_id", "title"), scope, strategy).select("title_id", "query_id", score)
     matches = query_set.match(titles, scope, tags, strategy)
     newest = query_set.newest().select("query_id", "tags", "priority", "n_positive_terms", "n_negative_terms", "n_anyof_groups")
-    rows = matches.join(newest, "query_id").join(titles.select("title_id", "title"), "title_id")
-    return rows.select("title_id", "query_id", (spec if isinstance(spec, Column) else spec.score()).alias("score"))
+    return matches.join(newest, "query_id").join(titles.select("title_id", "title"), "title_id").select("title_id", "query_id", score)
 
 
 ORDER = ("score desc", "query_id asc")
@@ -221,6 +232,12 @@ def top_k(scores: DataFrame, size: int, search_after: tuple[int, int] | None = N
     return ranked(scores).where(F.col("rank") <= size)
 
 
+def batch_top_k(query_set, titles: DataFrame, spec: RankSpec | Column, size: int, scope: str = "standard", tags: dict | None = None) -> DataFrame:
+    """Each title's best ``size``; a batch of too many titles or cells is refused before anything is matched."""
+    check_size(size, titles.count())
+    return top_k(scored(query_set, titles, spec, scope, tags), size)
+
+
 def page(scores: DataFrame, start: int = 0, size: int = 1000) -> DataFrame:
     """Rows ``start`` to ``start + size`` of each title's order."""
     return ranked(scores).where((F.col("rank") > start) & (F.col("rank") <= start + size))
@@ -240,3 +257,16 @@ def with_source(hits: DataFrame, registry: DataFrame, includes: tuple[str, ...]
 
     names = [c for c in registry.columns if c != "query_id" and any(fnmatchcase(c, g) for g in includes) and not any(fnmatchcase(c, g) for g in excludes)]
     return hits.join(registry.select("query_id", F.struct(*names).alias("_source") if names else F.lit(None).alias("_source")), "query_id", "left")
+
+
+class TooLarge(RuntimeError):
+    pass
+
+
+def fetch_sources(hits: DataFrame, registry: DataFrame, includes: tuple[str, ...] = ("*",), excludes: tuple[str, ...] = (), most: int = 16 << 20) -> DataFrame:
+    """As ``with_source``, for final hits; if the sources are over ``most`` bytes, an error and none of them."""
+    out = with_source(hits, registry, includes, excludes)
+    size = out.agg(F.sum(F.octet_length(F.to_json("_source")))).first()[0] or 0
+    if size > most:
+        raise TooLarge(f"sources of {size} bytes, over {most}")
+    return out

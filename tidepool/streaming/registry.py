@@ -17,6 +17,7 @@ from tidepool.sources.loader import parse_bulk
 
 OPS = "seq long, op string, query_id long, query string, version int, tags array<string>, priority long"
 SEMANTICS = 1
+FEW_IDS = 1000
 
 
 def accepted(ops: DataFrame, vocabulary: Vocabulary | None = None, accept_class_d: bool = False) -> DataFrame:
@@ -38,14 +39,11 @@ def live(ops: DataFrame) -> DataFrame:
     In the order of ``seq``: ``index`` replaces all copies of its id, ``insert`` adds one, ``delete`` removes all, ``create``
     acts where none is live.  What is refused changes nothing, so an older copy stays.
 
-    An id's copies are those since its last replacing operation.  Only ids with a ``create`` need their operations walked in
-    order; that is a fold over one id's short list."""
-    good = ops.where("refused is null")
-    tricky = good.where("op = 'create'").select("query_id").distinct()
-    plain = good.join(tricky, "query_id", "left_anti")
-    ordered = good.join(tricky, "query_id").withColumn("op", created_as(Window.partitionBy("query_id").orderBy("seq")))
-    rows = plain.unionByName(ordered.where("op <> 'conflict'").select(*plain.columns))
-    last = F.max(F.when(F.col("op").isin("index", "delete"), F.col("seq"))).over(Window.partitionBy("query_id"))
+    An id's copies are those since its last replacing operation.  All of it are windows by id over the log, which is
+    shuffled once."""
+    by_id = Window.partitionBy("query_id")
+    rows = ops.where("refused is null").withColumn("op", created_as(by_id.orderBy("seq"))).where("op <> 'conflict'")
+    last = F.max(F.when(F.col("op").isin("index", "delete"), F.col("seq"))).over(by_id)
     rows = rows.withColumn("_last", last).where("op <> 'delete' and (_last is null or seq >= _last)")
     return rows.select(F.col("seq").alias("row_id"), "query_id", "query", "version", "tags", "priority", F.col("seq").alias("generation"))
 
@@ -81,12 +79,18 @@ def ingest_report(ops: DataFrame) -> DataFrame:
     return outcomes(ops).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+class Conflict(RuntimeError):
+    """Another writer was first; what this one wrote is not part of the registry."""
+
+
 @dataclass
 class Registry:
-    """A folder with a log of operations (``ops``), compiled states (``state-n``) and a pointer to the current one.
+    """A folder of tables with names of their own (``ops/<id>``, ``state/<id>``) and numbered manifests.
 
-    A state is written whole before the pointer moves, and readers keep the state they opened: a reader never sees half
-    an update.  Folders are Spark paths; the pointer is a one-row table of its own name, the highest counts."""
+    A manifest names the batches of the log, the published states and the next sequence number.  Whatever is written becomes
+    part of the registry when the next manifest is put in place, in one rename that fails if that number is there; a crash
+    before it leaves tables that nothing names, which ``vacuum`` removes.  Readers keep the tables of the manifest that they
+    read, so they never see half an update."""
 
     spark: SparkSession
     path: str
@@ -94,39 +98,101 @@ class Registry:
     accept_class_d: bool = False
     observer: Callable[[str, dict], None] = lambda event, info: None
 
+    # --- manifests ---------------------------------------------------------------------------------------------------
+
     def _fs(self):
         root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
 
-    def _numbers(self, kind: str) -> list[int]:
+    def _names(self, kind: str) -> list[str]:
+        fs, path = self._fs()
+        folder = path(f"{self.path}/{kind}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def manifest(self, number: int | None = None) -> dict:
+        """The manifest of this number, else the newest one; before the first, an empty one."""
+        if number is None:
+            numbers = [int(n) for n in self._names("manifest") if n.isdigit()]
+            if not numbers:
+                return {"number": 0, "ops": [], "next_seq": 0, "states": {}, "mask": None}
+            number = max(numbers)
+        fs, path = self._fs()
+        stream = fs.open(path(f"{self.path}/manifest/{number:012d}"))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text)
+
+    def _commit(self, old: dict, **changes) -> dict:
+        """Puts the manifest after ``old`` in place."""
+        new = old | changes | {"number": old["number"] + 1}
         fs, path = self._fs()
-        if not fs.exists(path(f"{self.path}/{kind}")):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path(f"{self.path}/{kind}"))]
-        return sorted(int(n) for n in names if n.isdigit() and fs.exists(path(f"{self.path}/{kind}/{n}/_SUCCESS")))
-
-    def ops(self) -> DataFrame:
-        """The log: complete batches only, so a write that broke off is not there."""
-        batches = [f"{self.path}/ops/{n}" for n in self._numbers("ops")]
+        jvm = self.spark._jvm
+        draft, final = path(f"{self.path}/manifest/draft-{uuid.uuid4().hex}"), path(f"{self.path}/manifest/{new['number']:012d}")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(new).encode()))
+        out.close()
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(fs.makeQualified(draft), fs.makeQualified(final), options)
+        except Exception as e:
+            fs.delete(draft, False)
+            if fs.exists(final):
+                raise Conflict(f"manifest {new['number']} is there already") from e
+            self.observer("durability_failure", {"manifest": new["number"]})
+            raise
+        return new
+
+    def _write(self, kind: str, rows: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/{kind}/{name}")
+        return name
+
+    # --- the log -----------------------------------------------------------------------------------------------------
+
+    def ops(self, manifest: dict | None = None) -> DataFrame:
+        """The log, from the batches that the manifest names."""
+        batches = [f"{self.path}/ops/{n}" for n in (manifest or self.manifest())["ops"]]
         return self.spark.read.schema(OPS + ", refused string").parquet(*batches) if batches else self.spark.createDataFrame([], OPS + ", refused string")
 
     def next_seq(self) -> int:
-        last = self.ops().agg(F.max("seq")).first()[0]
-        return 0 if last is None else last + 1
+        return self.manifest()["next_seq"]
 
-    def append(self, ops: DataFrame) -> DataFrame:
-        """Adds a batch; ``seq`` must continue the log.  Returns its outcomes."""
+    def append(self, ops: DataFrame, replay: bool = False) -> DataFrame:
+        """Adds a batch and returns its outcomes.  ``seq`` must continue the log, whatever was compacted since; with
+        ``replay`` operations that the log has had already are left out."""
         started = time.time()
-        batch = (self._numbers("ops") or [-1])[-1] + 1
-        rows = accepted(ops.select("seq", "op", "query_id", "query", F.col("version").cast("int").alias("version"), "tags", "priority"), self.vocabulary, self.accept_class_d)
-        rows.write.parquet(f"{self.path}/ops/{batch}")
-        first = self.spark.read.parquet(f"{self.path}/ops/{batch}").agg(F.min("seq")).first()[0]
-        self.observer("ingest", {"batch": batch, "seconds": time.time() - started})
-        return outcomes(self.ops()).where(F.col("seq") >= (0 if first is None else first))
-
-    def _one(self, op: str, query_id: int, query: str | None, version: int = 1, tags: list[str] | None = None, priority: int = 0) -> int:
-        row = (self.next_seq(), op, query_id, query, version, tags or [], priority)
-        return self.append(self.spark.createDataFrame([row], OPS)).first().status
+        old = self.manifest()
+        ops = ops.select("seq", "op", "query_id", "query", F.col("version").cast("int").alias("version"), "tags", "priority")
+        if replay:
+            ops = ops.where(F.col("seq") >= old["next_seq"])
+        name = self._write("ops", accepted(ops, self.vocabulary, self.accept_class_d))
+        batch = self.spark.read.schema(OPS + ", refused string").parquet(f"{self.path}/ops/{name}")
+        first, last = batch.agg(F.min("seq"), F.max("seq")).first()
+        if first is not None and first < old["next_seq"]:
+            raise ValueError(f"operation {first} does not continue the log, which is at {old['next_seq']}")
+        if first is None:
+            return outcomes(batch)
+        new = self._commit(old, ops=[*old["ops"], name], next_seq=last + 1)
+        self.observer("ingest", {"batch": name, "seconds": time.time() - started})
+        log = self.ops(new)
+        ids = [r.query_id for r in batch.select("query_id").distinct().limit(FEW_IDS + 1).collect()]
+        # few ids go into the log's scan as a filter
+        touched = log.where(F.col("query_id").isin(ids)) if len(ids) <= FEW_IDS else log.join(batch.select("query_id").distinct(), "query_id", "left_semi")
+        return outcomes(touched).where(F.col("seq") >= first)
+
+    def _one(self, op: str, query_id: int, query: str | None, version: int = 1, tags: list[str] | None = None, priority: int = 0, attempts: int = 5) -> int:
+        """One operation; behind another writer's it gets the next number."""
+        for attempt in range(attempts):
+            row = (self.next_seq(), op, query_id, query, version, tags or [], priority)
+            try:
+                return self.append(self.spark.createDataFrame([row], OPS)).first().status
+            except Conflict:
+                if attempt == attempts - 1:
+                    raise
+        raise ValueError("attempts")
 
     def upsert(self, query_id: int, query: str, **more) -> int:
         return self._one("index", query_id, query, **more)
@@ -156,49 +222,80 @@ class Registry:
         status = {r.seq: r.status for r in self.append(self.spark.createDataFrame(good, OPS)).collect()} if good else {}
         return [{"_id": r["query_id"], "status": status.get(r["seq"], 400), "error": r["error"]} for r in rows]
 
-    def rows(self) -> DataFrame:
-        return live(self.ops())
+    def rows(self, manifest: dict | None = None) -> DataFrame:
+        return live(self.ops(manifest))
 
     def get(self, query_id: int) -> dict | None:
-        row = self.rows().where(F.col("query_id") == query_id).orderBy(F.desc("generation")).first()
+        """The newest live copy, or None: the log is read with the id in the scan's filter."""
+        row = live(self.ops().where(F.col("query_id") == query_id)).orderBy(F.desc("generation")).first()
         return row.asDict() if row else None
 
+    def has_live(self, query_id: int) -> bool:
+        return self.get(query_id) is not None
+
+    # --- states ------------------------------------------------------------------------------------------------------
+
     def publish(self, mask: list[str] | None = None) -> int:
-        """Writes the live rows as a new state and points to it.  The hot features are frozen by the first state and kept,
-        unless given."""
-        if mask is None and (states := self._numbers("state")):
-            mask = json.loads(self.spark.read.text(f"{self.path}/about/{states[-1]}").first().value)["mask"]
-        number = (self._numbers("state") or [-1])[-1] + 1
-        self.rows().write.parquet(f"{self.path}/state/{number}")
-        rows = self.spark.read.parquet(f"{self.path}/state/{number}")
+        """Writes the live rows as a new state.  The hot features are frozen by the first state that has rows, unless given."""
+        old = self.manifest()
+        name = self._write("state", self.rows(old))
+        mask = old["mask"] if mask is None else mask
         if mask is None:
-            mask = list(QuerySet.build(rows, self.vocabulary, accept_class_d=self.accept_class_d).mask.hot)
-        about = json.dumps({"semantics": SEMANTICS, "mask": mask, "vocabulary": self.vocabulary.to_json(), "id": uuid.uuid4().hex})
-        self.spark.createDataFrame([(about,)], "value string").coalesce(1).write.text(f"{self.path}/about/{number}")
+            rows = self.spark.read.parquet(f"{self.path}/state/{name}")
+            if rows.limit(1).count():
+                mask = list(QuerySet.build(rows, self.vocabulary, accept_class_d=self.accept_class_d).mask.hot)
+        number = max(map(int, old["states"]), default=-1) + 1
+        about = {"semantics": SEMANTICS, "mask": mask, "vocabulary": self.vocabulary.to_json(), "seq": old["next_seq"]}
+        self.spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{self.path}/about/{name}")
+        self._commit(old, states=old["states"] | {str(number): name}, mask=mask)
         self.observer("flush", {"state": number})
         return number
 
+    def states(self) -> list[int]:
+        return sorted(map(int, self.manifest()["states"]))
+
     def snapshot(self, number: int | None = None, theta: int = 0) -> QuerySet:
         """The queries of a published state, as they were."""
-        number = self._numbers("about")[-1] if number is None else number
-        about = json.loads(self.spark.read.text(f"{self.path}/about/{number}").first().value)
+        states = self.manifest()["states"]
+        name = states[str(max(map(int, states)) if number is None else number)]
+        about = json.loads(self.spark.read.text(f"{self.path}/about/{name}").first().value)
         if about["semantics"] != SEMANTICS:
             raise RuntimeError(f"state of semantics {about['semantics']}")
-        rows = self.spark.read.parquet(f"{self.path}/state/{number}")
-        return QuerySet.build(rows, Vocabulary.from_json(about["vocabulary"]), theta, self.accept_class_d, about["mask"])
+        rows = self.spark.read.parquet(f"{self.path}/state/{name}")
+        return QuerySet.build(rows, Vocabulary.from_json(about["vocabulary"]), theta, self.accept_class_d, about["mask"] or [])
 
     def compact(self) -> int:
-        """The log as what is live, under the old numbers; results do not change."""
-        last = self._numbers("ops")
-        rows = self.rows().select(F.col("row_id").alias("seq"), F.lit("insert").alias("op"), "query_id", "query", "version", "tags", "priority", F.lit(None).cast("string").alias("refused"))
-        number = (last or [-1])[-1] + 1
-        rows.write.parquet(f"{self.path}/compacted/{number}")
+        """The log as what is live, under the old numbers; results do not change, and numbers go on where they were.  The
+        batches before it stay until ``vacuum``, for readers that still use them."""
+        old = self.manifest()
+        rows = self.rows(old).select(F.col("row_id").alias("seq"), F.lit("insert").alias("op"), "query_id", "query", "version", "tags", "priority", F.lit(None).cast("string").alias("refused"))
+        new = self._commit(old, ops=[self._write("ops", rows)])
+        self.observer("compaction", {"batches": len(old["ops"])})
+        return new["number"]
+
+    def maybe_compact(self, most_batches: int = 8, most_holes: float = 0.3) -> bool:
+        figures = self.metrics().first()
+        if should_compact([1] * len(self.manifest()["ops"]), 0, most_batches, most_holes) or figures.holes > most_holes:
+            self.compact()
+            return True
+        return False
+
+    def vacuum(self, keep_states: int = 1) -> int:
+        """Removes tables that the newest manifest does not name, older manifests, and states but the newest ones; how many
+        went.  Only when no reader or writer uses them."""
+        now = self.manifest()
+        kept = dict(sorted(now["states"].items(), key=lambda s: int(s[0]))[-keep_states:]) if keep_states else {}
+        if kept != now["states"]:
+            now = self._commit(now, states=kept)
         fs, path = self._fs()
-        fs.rename(path(f"{self.path}/compacted/{number}"), path(f"{self.path}/ops/{number}"))
-        for n in last:
-            fs.delete(path(f"{self.path}/ops/{n}"), True)
-        self.observer("compaction", {"batches": len(last)})
-        return number
+        gone = 0
+        for kind, names in (("ops", now["ops"]), ("state", kept.values()), ("about", kept.values()), ("manifest", [f"{now['number']:012d}"])):
+            for name in set(self._names(kind)) - set(names):
+                if fs.delete(path(f"{self.path}/{kind}/{name}"), True):
+                    gone += 1
+                else:
+                    self.observer("cleanup_failed", {"table": f"{kind}/{name}"})
+        return gone
 
     def set_vocabulary(self, vocabulary: Vocabulary) -> int:
         """Every live query must still compile; then all are compiled anew under it, as a new state."""
@@ -207,22 +304,39 @@ class Registry:
         if first := bad.first():
             raise ValueError(f"query {first.query_id}: {first.refused}")
         self.vocabulary = vocabulary
-        return self.publish(mask=[] if not self._numbers("state") else None)
+        return self.publish()
 
     def backup(self, path: str) -> None:
-        for kind in ("ops", "state", "about"):
-            for n in self._numbers(kind):
-                source = f"{self.path}/{kind}/{n}"
-                reader = self.spark.read.text(source) if kind == "about" else self.spark.read.parquet(source)
-                (reader.write.text if kind == "about" else reader.write.parquet)(f"{path}/{kind}/{n}")
+        """A registry at ``path`` with what this one's newest manifest names; the manifest is written last."""
+        now = self.manifest()
+        for kind, names in (("ops", now["ops"]), ("state", now["states"].values())):
+            for name in names:
+                self.spark.read.parquet(f"{self.path}/{kind}/{name}").write.parquet(f"{path}/{kind}/{name}")
+        for name in now["states"].values():
+            self.spark.read.text(f"{self.path}/about/{name}").write.text(f"{path}/about/{name}")
+        Registry(self.spark, path)._commit(now | {"number": now["number"] - 1})
 
     def metrics(self) -> DataFrame:
         """One row: operations, live rows, queries, replaced or deleted rows and their share, refusals."""
         ops, rows = self.ops(), self.rows()
         a = ops.agg(F.count(F.when(F.col("op") != "delete", 1)).alias("writes"), F.count("refused").alias("refused"))
         b = rows.agg(F.count(F.lit(1)).alias("live"), F.countDistinct("query_id").alias("queries"))
-        gone = F.col("writes") - F.col("refused") - F.col("live")
-        return a.join(F.broadcast(b)).withColumn("gone", gone).withColumn("holes", gone / F.greatest(F.col("writes") - F.col("refused"), F.lit(1)))
+        return figures(a.join(F.broadcast(b)))  # one row each
+
+    def segments(self) -> DataFrame:
+        """The log's batches: ``batch, position, operations, first_seq, last_seq``."""
+        names = self.manifest()["ops"]
+        out = self.spark.createDataFrame([], "batch string, position int, operations long, first_seq long, last_seq long")
+        for at, name in enumerate(names):
+            rows = self.spark.read.parquet(f"{self.path}/ops/{name}")
+            out = out.unionByName(rows.agg(F.count(F.lit(1)).alias("operations"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")).select(F.lit(name).alias("batch"), F.lit(at).alias("position"), "operations", "first_seq", "last_seq"))
+        return out
+
+
+def figures(counts: DataFrame) -> DataFrame:
+    """``gone`` and ``holes`` beside ``writes, refused, live``."""
+    gone = F.col("writes") - F.col("refused") - F.col("live")
+    return counts.withColumn("gone", gone).withColumn("holes", gone / F.greatest(F.col("writes") - F.col("refused"), F.lit(1)))
 
 
 def should_compact(sizes: list[int], dead: int, most_batches: int = 8, most_holes: float = 0.3) -> bool:

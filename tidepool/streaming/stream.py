@@ -15,7 +15,8 @@ from .registry import Registry
 
 def percolate_stream(titles: DataFrame, query_set: QuerySet, scope: str = "standard", tags: dict | None = None) -> DataFrame:
     """``titles`` (a stream) with the queries that match each: a stream-static join with nothing to remember, as each pair
-    comes from one signature only.  Copies of one query are not put together; dedupe a batch where ids repeat."""
+    comes from one signature only.  Copies of one query are not put together; dedupe a batch where ids repeat.  The postings
+    go to all tasks, and are an error if they are too large for that: then match batch by batch (``percolate_batches``)."""
     pairs = query_set.filtered(tags).pairs(titles, scope, "broadcast")
     return pairs.select(*titles.columns, "query_id")
 
@@ -36,11 +37,11 @@ def percolate_batches(titles: DataFrame, snapshot: Callable[[], QuerySet], sink:
 
 
 def apply_operations(ops: DataFrame, registry: Registry) -> DataStreamWriter:
-    """A stream of operations into the log; a batch that comes again is found there and not added twice."""
+    """A stream of operations into the log; a batch that comes again is known by its numbers and not added twice, even if the
+    log has been compacted since."""
 
     def run(batch: DataFrame, number: int) -> None:
-        known = registry.ops().select("seq")
-        registry.append(batch.join(known, "seq", "left_anti"))
+        registry.append(batch, replay=True)
 
     return ops.writeStream.foreachBatch(run)
 
