@@ -10,7 +10,7 @@ from tidepool import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["title_features", "percolate_compound_anyof", "percolate_forbidden_phrase", "percolate_part_queries", "rank_tree_topk", "registry_create_conflicts", "load_csv", "learn_bigrams_npmi"]
+SOME = ["title_features", "percolate_compound_anyof", "percolate_forbidden_phrase", "percolate_part_queries", "rank_tree_topk", "registry_create_conflicts", "load_csv", "learn_bigrams_npmi", "percolate_mixed", "percolate_mixed_lanes", "mixed_cost_classes", "percolate_bodies", "rank_copies", "load_bulk", "feedback_report", "registry_metrics"]
 
 
 def plain(v):
@@ -38,7 +38,7 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["percolate_prefiltered_all", "explain_failures_all"])
+@pytest.mark.parametrize("name", ["percolate_prefiltered", "explain_failures"])
 def test_all_titles_are_prefiltered_and_explained(spark, name, monkeypatch):
     monkeypatch.setitem(globals(), "SF", SF.replace("sf0.001", "sf0.01"))  # more titles than the queries over some ids take
     test_query_equals_its_sql(spark, name)

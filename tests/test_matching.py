@@ -1,11 +1,12 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tests import naive
 from tidepool.functions import columns as C
-from tidepool.functions.analysis import Analyzer
+from tidepool.functions.analysis import Analyzer, graph_occurs
 from tidepool.functions.vocabulary import Vocabulary
-from tidepool.operators import inspect
+from tidepool.operators import inspect, match
 from tidepool.operators.match import QuerySet, title_views
 from tidepool.sources.generate import Shape, generate, messy_title, negative_queries
 
@@ -50,6 +51,52 @@ def test_all_strategies_equal_the_naive_matcher(corpus):
     assert pairs(built.prefiltered(title_df).match(title_df, "with_broad")) == want
 
 
+def test_lanes_bodies_and_bounds(corpus, monkeypatch):
+    queries, titles, query_df, title_df = corpus
+    more = query_df.unionByName(query_df.where("query_id % 3 = 0").selectExpr("query_id + 1000 as query_id", "query"))  # the same said again
+    built = QuerySet.build(more, accept_class_d=True)
+    want = pairs(built.match(title_df, "with_broad", strategy="brute"))
+    assert pairs(built.match_bodies(title_df, "with_broad")) == want == pairs(built.match_bodies(title_df, "with_broad", strategy="shuffle"))
+    ones, members = built.bodies()
+    assert ones.rows.count() < built.rows.count() == members.count()
+    for prefilter in (False, True):
+        for lane in ("broadcast", "shuffle"):
+            assert pairs(built.match_lanes(title_df, True, "shuffle", lane, prefilter)) == want
+    assert pairs(built.match_lanes(title_df, False)) == pairs(built.match(title_df, "standard"))
+    monkeypatch.setattr(match, "BROADCAST_BYTES", 1000)
+    assert pairs(built.match(title_df, "with_broad")) == want
+    with pytest.raises(ValueError, match="bytes"):
+        built.match(title_df, "with_broad", strategy="broadcast")
+    built.release()
+    assert pairs(built.match(title_df, "standard")) == pairs(QuerySet.build(more).match(title_df, "standard"))
+
+
+def test_the_signature_of_all_titles_is_dealt_out(spark):
+    queries = spark.createDataFrame([(1, "-old"), (2, "lamp")], "query_id long, query string")
+    titles = spark.range(2000).selectExpr("id as title_id", "if(id % 100 = 0, 'old lamp', 'lamp') as title")
+    built = QuerySet.build(queries, accept_class_d=True)
+    got = built.match(titles, "with_broad", strategy="shuffle")
+    assert got.count() == 2000 + 1980
+    only = QuerySet.build(queries.where("query_id = 2"))
+    assert "salt" not in only.candidates(titles, "with_broad")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_phrases_that_take_too_much_work_reject_nothing():
+    arcs = [(0, 1, ["x"]), (1, 2, ["x"])]
+    title = [("x", i, i + 1) for i in range(50)]
+    assert graph_occurs(2, arcs, title, 50) is True and graph_occurs(2, arcs, title[:1], 1) is False
+    assert graph_occurs(3, [*arcs, (2, 3, ["y"])], title, 50) is False
+    assert graph_occurs(3, [*arcs, (2, 3, ["y"])], title, 50, most_work=20) is None
+    assert graph_occurs(3, [*arcs, (2, 3, ["y"])], title, 50, most_states=20) is None
+    row = lambda graph: pd.Series([[graph]])
+    graph = {"positions": 3, "arcs": [{"start": s, "end": e, "alts": a} for s, e, a in [*arcs, (2, 3, ["y"])]]}
+    held = [{"feature": "x", "start": i, "end": i + 1} for i in range(40_000)]
+    none = pd.Series([None])
+    check = match.phrases_hold.func
+    assert check(row(graph), none, pd.Series([held]), pd.Series([held]), pd.Series([40_000])).tolist() == [True]
+    assert check(none, row(graph), pd.Series([held]), pd.Series([held]), pd.Series([40_000])).tolist() == [True]
+
+
 def test_candidates_reach_every_match(corpus):
     built = QuerySet.build(corpus[2])
     found = set(pairs(built.candidates(corpus[3], "with_broad").withColumnRenamed("row_id", "query_id")))
@@ -97,7 +144,7 @@ def test_copies_of_a_query(spark):
 def test_explain(spark):
     built = QuerySet.build(spark.createDataFrame([(1, 'brass -old "blue lamp" (a,b)')], "query_id long, query string"), mask=[])
     titles = spark.createDataFrame([(1, "old lamp blue"), (2, "brass blue lamp a")], "title_id long, title string")
-    got = {r.title_id: (r.matched, r.candidate, r.failures) for r in inspect.explain(built, titles).collect()}
+    got = {r.title_id: (r.matched, r.candidate, r.failures) for r in inspect.explain(built, titles.withColumn("query_id", F.lit(1))).collect()}
     assert got[2] == (True, True, [])
     assert got[1] == (False, False, ["missing required: term:brass", "forbidden present: term:old", "any-of groups unmet: 1", "required phrase absent"])
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidepool.functions import columns as C
 from tidepool.functions.aliases import AliasRegistry
 from tidepool.functions.sql import register
+from tidepool.functions.vocabulary import Vocabulary
 from tidepool.operators import deliver, learn, rank
 from tidepool.operators.match import QuerySet
 from tidepool.session import Percolator, Settings, seconds
@@ -56,7 +57,13 @@ def test_profiles(shop):
     built, titles = shop
     got = {r.query_id: r.score for r in rank.scored(built, titles, rank.RankSpec("lin", profiles=profiles)).collect()}
     assert got == {1: 4, 2: 84, 3: 59, 4: 9, 5: C.TOP}
-    assert profiles["lin"].fingerprint() != profiles["static_v1"].fingerprint()
+    assert profiles["lin"].fingerprint() != profiles["static_v1"].fingerprint() == f"fnv1a64:{rank.fnv1a64(bytes(1)):016x}"
+    told = json.loads(json.dumps(PROFILES))
+    told["profiles"]["lin"]["expected_fingerprint"] = profiles["lin"].fingerprint()
+    assert rank.load_profiles(json.dumps(told)) == profiles
+    told["profiles"]["lin"]["intercept"] = 4
+    with pytest.raises(rank.ProfileError, match="fingerprint"):
+        rank.load_profiles(json.dumps(told))
     with pytest.raises(rank.ProfileError, match="unknown_rank_profile"):
         rank.RankSpec("none", profiles=profiles).score()
     with pytest.raises(rank.ProfileError, match="unsupported_rank_field"):
@@ -191,6 +198,15 @@ def test_registry_on_disk(spark, tmp_path):
     before = sorted(map(str, p.registry.rows().collect()))
     p.registry.compact()
     assert sorted(map(str, p.registry.rows().collect())) == before
+    assert p.put(9, "spare") == 201 and p.delete(9) == 200
+    seq = p.registry.next_seq()
+    p.registry.compact()
+    assert p.registry.next_seq() == seq and p.registry.get(9) is None and not p.registry.has_live(9) and p.registry.has_live(2)
+    p.registry.append(frame(spark, [(seq - 2, "index", 9, "spare", 1, [], 0)], registry.OPS), replay=True)  # had already
+    with pytest.raises(ValueError, match="does not continue"):
+        p.registry.append(frame(spark, [(seq - 2, "index", 9, "spare", 1, [], 0)], registry.OPS))
+    assert sorted(map(str, p.registry.rows().collect())) == before
+    assert p.registry.segments().select("operations").first()[0] == 2
     p.registry.backup(str(tmp_path / "copy"))
     assert sorted(map(str, registry.Registry(spark, str(tmp_path / "copy")).rows().collect())) == before
     found = p.search({"query": {"bool": {"must": {"percolate": {"document": {"title": "brass lamp"}}}, "filter": {"term": {"tier": "gold"}}}}}, True).collect()
@@ -200,6 +216,178 @@ def test_registry_on_disk(spark, tmp_path):
     assert registry.compaction_range([10_000, 10, 10, 10]) == (1, 4)
 
 
+def test_registry_survives_a_stop_between_any_two_steps(spark, tmp_path, monkeypatch):
+    class Stopped(Exception):
+        pass
+
+    reg = registry.Registry(spark, str(tmp_path / "reg"))
+    assert reg.upsert(1, "lantern") == 201 and reg.upsert(2, "kettle") == 201 and reg.delete(2) == 200
+    number, before = reg.publish(), sorted(map(str, reg.rows().collect()))
+    steps = {"append": lambda: reg.upsert(3, "clock"), "publish": reg.publish, "compact": reg.compact}
+    for name, step in steps.items():
+        for at in ("_write", "_commit"):
+            with monkeypatch.context() as m:
+                real = registry.Registry._write
+
+                def stop(self, *a, real=real, at=at, **k):
+                    if at == "_write":  # written whole, but the writer stops then
+                        real(self, *a, **k)
+                    raise Stopped
+
+                m.setattr(registry.Registry, at, stop)
+                with pytest.raises(Stopped):
+                    step()
+            other = registry.Registry(spark, reg.path)
+            assert sorted(map(str, other.rows().collect())) == before, (name, at)
+            assert other.states() == [number] and other.snapshot().rows.count() == 1 and other.next_seq() == 3
+    assert reg.upsert(3, "clock") == 201 and reg.publish() == number + 1 and reg.snapshot().rows.count() == 2
+    reg.compact()
+    after = sorted(map(str, reg.rows().collect()))
+    assert reg.vacuum() > 4 and sorted(map(str, reg.rows().collect())) == after and reg.snapshot().rows.count() == 2
+    assert reg.next_seq() == 4 and reg.create(2, "again") == 201
+
+
+def test_of_two_writers_one_is_told(spark, tmp_path):
+    one, two = (registry.Registry(spark, str(tmp_path / "reg")) for _ in range(2))
+    old = one.manifest()
+    one.upsert(1, "lantern")
+    with pytest.raises(registry.Conflict):
+        two._commit(old, next_seq=99)
+    assert two.upsert(1, "kettle") == 200 and [r.query for r in one.rows().collect()] == ["kettle"] and one.next_seq() == 2
+
+
+def test_the_hot_features_are_those_of_the_first_state_with_rows(spark, tmp_path):
+    reg = registry.Registry(spark, str(tmp_path / "reg"))
+    reg.set_vocabulary(Vocabulary(synonyms={"lamp": "term:light"}))
+    assert reg.manifest()["mask"] is None
+    reg.build(frame(spark, [(i, "lantern") for i in range(3)], "query_id long, query string"))
+    reg.publish()
+    assert reg.manifest()["mask"] == ["term:lantern"] and {r.cost_class for r in reg.snapshot().rows.collect()} == {"C"}
+    reg.upsert(9, "kettle")
+    reg.publish()
+    assert reg.manifest()["mask"] == ["term:lantern"]  # frozen
+
+
+def test_pages_over_a_pinned_state(spark, tmp_path):
+    p = Percolator(spark, str(tmp_path / "reg"))
+    p.bulk("".join(f'{{"index":{{"_id":{i}}}}}\n{{"query":"lantern","rank_fields":{{"priority":{i % 4}}}}}\n' for i in range(11)))
+    once = [(r.query_id, r.score) for r in p.top(p.titles(["brass lantern"]), 100, scope="with_broad").orderBy("rank").collect()]
+    pit = p.open_pit()
+    p.put(50, "lantern")
+    pages, cursor = [], None
+    while True:
+        rows, cursor = p.ranked_page("brass lantern", 4, None if cursor else pit, cursor, scope="with_broad")
+        pages += [(r.query_id, r.score) for r in rows]
+        if cursor is None:
+            break
+    assert pages == once and len(once) == 11
+    _, cursor = p.ranked_page("brass lantern", 4, pit, scope="with_broad")
+    with pytest.raises(deliver.CursorError, match="mismatch"):
+        p.ranked_page("brass lantern", 5, cursor=cursor, scope="with_broad")
+    p.pits.close(pit)
+    with pytest.raises(deliver.CursorError, match="stale"):
+        p.ranked_page("brass lantern", 4, cursor=cursor, scope="with_broad")
+    assert p.match(p.titles(["lantern"]), "with_broad").count() == 12
+    assert p.health()["status"] == "green" and p.put(51, "x") == 201 and p.health()["status"] == "yellow"
+    with pytest.raises(ValueError):
+        p.batch_top(p.titles(["a"] * 200), 10_000)
+    assert p.batch_top(p.titles(["lantern", "x"]), 1, scope="with_broad").count() == 2
+
+
+def test_jobs_and_deadlines(spark, tmp_path):
+    jobs = deliver.Jobs(most=3)
+
+    def slow(cancelled):
+        return spark.range(0, 400, 1, 400).rdd.map(lambda x: __import__("time").sleep(0.2)).count()
+
+    assert jobs.create("a", spark, lambda cancelled: 7)["id"] == "a" and jobs.wait("a", 30)["status"] == "completed"
+    assert jobs.create("a", spark, lambda cancelled: 8)["status"] == "completed" and jobs.result("a") == 7
+    with pytest.raises(RuntimeError, match="handed out"):
+        jobs.result("a")
+    jobs.create("b", spark, slow)
+    with pytest.raises(RuntimeError, match="running"):
+        jobs.delete("b")
+    jobs.cancel("b", spark)
+    assert jobs.wait("b", 60)["status"] == "cancelled"
+    jobs.create("c", spark, lambda cancelled: 1 / 0)
+    assert jobs.wait("c", 30)["status"] == "failed" and "zero" in jobs.status("c")["error"]
+    with pytest.raises(RuntimeError, match="too many"):
+        jobs.create("d", spark, slow)
+    assert jobs.delete("b")["status"] == "cancelled"
+    assert deliver.within(spark, 60, lambda: spark.range(5).count()) == 5
+    with pytest.raises(deliver.DeadlineError):
+        deliver.within(spark, 1, lambda: slow(None))
+    p = Percolator(spark, str(tmp_path / "reg"))
+    p.put(1, "lantern")
+    assert [tuple(r) for r in p.match_within(p.titles(["lantern"]), 60, "with_broad")] == [(0, 1)]
+    p.start_delivery("e", p.titles(["lantern", "x"]), str(tmp_path / "out"))
+    assert p.jobs.wait("e", 60)["status"] == "completed" and spark.read.json(str(tmp_path / "out/chunks")).count() == 1
+
+
+def test_alias_governance(spark, tmp_path):
+    p = Percolator(spark, str(tmp_path / "reg"))
+    rows = ["(colour,colours) x", "(colours,colour)", "(colour,colours)", "colours chart", "old chart"]
+    p.bulk("".join(f'{{"index":{{"_id":{i}}}}}\n{{"query":"{q}"}}\n' for i, q in enumerate(rows)))
+    titles = p.titles(["colour chart"])
+    assert [r.query_id for r in p.match(titles, "with_broad").orderBy("query_id").collect()] == [1, 2]
+    assert p.learn_aliases() == 1
+    assert [r.query_id for r in p.match(titles, "with_broad").orderBy("query_id").collect()] == [1, 2, 3]
+    assert p.import_solr("aged, old") == 1
+    assert [r.query_id for r in p.match(p.titles(["aged chart"]), "with_broad").collect()] == [4]
+    p.registry.vocabulary.aliases.add(("gear", "cog"), "distributional", 0.7)
+    p.put(10, "box"), p.put(11, "box oak")
+    p.observe(frame(spark, [(1, "gear box oak"), (2, "cog box"), (3, "cog box oak")], "title_id long, title string"))
+    p.observe(frame(spark, [(4, "gear box"), (5, "gear cog")], "title_id long, title string"))
+    (row,) = p.alias_feedback(0.5, 2, 2)
+    assert row == {"a": "cog", "b": "gear", "titles_a": 2, "titles_b": 2, "titles_both": 1, "sampled_a": 2, "sampled_b": 2, "excluded": 0, "overlap": 1.0, "validated": True}
+    assert p.apply_feedback(True, min_titles=2, min_queries=2) == (1, 1)
+    assert p.registry.vocabulary.aliases.entries["cog", "gear"].status == "active" and p.apply_feedback(True) == (1, 0)  # known, and active already
+
+
+def test_sketches_of_batches_merge_as_one(spark, monkeypatch):
+    monkeypatch.setattr(learn, "RAW", 12), monkeypatch.setattr(learn, "SAMPLE", 8)
+    titles = frame(spark, [(i, f"{'ny' if i % 2 else 'new york'} loft {i}") for i in range(40)], "title_id long, title string")
+    matches = frame(spark, [(i, q) for i in range(40) for q in range(i % 7, 60, 7)], "title_id long, query_id long")
+    queries = frame(spark, [(q, "ny flat" if q % 5 == 0 else "loft") for q in range(55)], "query_id long, query string")
+    pairs = [("ny", "new york")]
+    whole = learn.observe(titles, matches, pairs)
+    parts = None
+    for k in range(4):
+        parts = learn.merged(parts, learn.observe(titles.where(f"title_id % 4 = {k}"), matches, pairs))
+    for one, other in zip(whole, parts, strict=True):
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    (row,) = learn.report(parts, queries, pairs, 0.1, 5, 2).collect()
+    sides = [sorted(r.hash for r in whole[1].where(f"side = '{x}'").join(queries.where("query_id % 5 <> 0"), "query_id").collect())[:8] for x in "ab"]
+    union = sorted(set(sides[0]) | set(sides[1]))[:8]
+    assert abs(row.overlap - len([h for h in union if h in sides[0] and h in sides[1]]) / len(union)) < 1e-12
+    assert (row.titles_a, row.titles_b, row.titles_both) == (20, 20, 0) and row.sampled_a == len(sides[0])
+
+
+def test_glued_pairs_share_no_word(spark):
+    things = ["loft", "flat", "house", "yard", "shop", "barn"]
+    texts = [f"{city} {x}" for x in things for city in ("new york", "new york", "ny", "old york", "ny", "old york")] + [f"{x} {y}" for x in things for y in things if x != y] * 2
+    queries = frame(spark, list(enumerate(texts)), "query_id long, query string")
+    plain, glued = (learn.discover_pairs(queries, min_count=6, similarity=0.3, together=0.2, tau=0.2, glue=g).collect() for g in (False, True))
+    assert ("new_york", "ny") in {(r.a, r.b) for r in glued} and not any("_" in r.a + r.b for r in plain)
+    assert all(not set(r.a.split("_")) & set(r.b.split("_")) for r in glued)
+
+
+def test_bulk_lines_equal_a_bulk_body(spark, tmp_path):
+    body = "".join(f'{{"{"index" if i % 2 else "create"}":{{"_id":{i}}}}}\n{{"query":"q {i}","tags":{{"n":{i}.50}},"shop":"s"{"" if i % 5 else ",x"}}}\n' for i in range(300))
+    (tmp_path / "b.ndjson").write_text(body)
+    got = sorted((r.asDict() for r in loader.load_bulk(spark, str(tmp_path / "b.ndjson"), 7).collect()), key=lambda r: r["seq"])
+    assert got == loader.parse_bulk(body, 7) and sum(r["error"] is not None for r in got) == 60
+    with pytest.raises(Exception, match="without a partner"):
+        loader.parse_bulk_lines(frame(spark, [(0, '{"index":{"_id":1}}')], "line_no long, value string")).collect()
+
+
+def test_sources_within_a_budget(spark):
+    hits, kept = frame(spark, [(1, 1)], "title_id long, query_id long"), frame(spark, [(1, "x" * 100)], "query_id long, query string")
+    assert rank.fetch_sources(hits, kept).first()._source.query == "x" * 100
+    with pytest.raises(rank.TooLarge):
+        rank.fetch_sources(hits, kept, most=50)
+
+
 def test_all_that_is_learned_is_kept(spark):
     groups = spark.range(2 * 10_001).selectExpr("id AS query_id", "concat('(a', id div 2, ',b', id div 2, ')') AS query")
     assert len(learn.learn_vocabulary(groups, equivalences=True).equivalences) == 10_001

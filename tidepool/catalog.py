@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions import columns as C
@@ -164,11 +165,6 @@ def percolate_shuffled(spark, sf_dir):
     return stored(spark, sf_dir).match(part_titles(spark, sf_dir), "with_broad", strategy="shuffle")
 
 
-@query("percolate_brute", f"WITH {MATCHED_SQL} SELECT title_id, query_id FROM m")
-def percolate_brute(spark, sf_dir):
-    return stored(spark, sf_dir).match(part_titles(spark, sf_dir), "with_broad", strategy="brute")
-
-
 @query("percolate_standard_scope", f"WITH {MATCHED_SQL} SELECT title_id, query_id FROM m WHERE len(need) >= 2")
 def percolate_standard_scope(spark, sf_dir):
     return stored(spark, sf_dir).match(part_titles(spark, sf_dir), "standard")
@@ -185,16 +181,17 @@ def percolate_filtered_tags(spark, sf_dir):
     return stored(spark, sf_dir).match(part_titles(spark, sf_dir), "with_broad", wanted)
 
 
-@query("percolate_prefiltered", f"WITH {MATCHED_SQL} SELECT title_id, query_id FROM m WHERE title_id <= 5")
+@query("percolate_prefiltered", f"WITH {MATCHED_SQL} SELECT title_id, query_id FROM m")
 def percolate_prefiltered(spark, sf_dir):
-    titles = part_titles(spark, sf_dir).where("title_id <= 5")
+    titles = part_titles(spark, sf_dir)
     return stored(spark, sf_dir).prefiltered(titles).match(titles, "with_broad")
 
 
-@query("percolate_prefiltered_all", f"WITH {MATCHED_SQL} SELECT title_id, query_id FROM m")
-def percolate_prefiltered_all(spark, sf_dir):
-    titles = part_titles(spark, sf_dir)
-    return stored(spark, sf_dir).prefiltered(titles).match(titles, "with_broad")
+@query("percolate_search_body", f"WITH {MATCHED_SQL} SELECT title_id, query_id FROM m WHERE p_type = 'PROMO' AND p_brand IN ('Brand#1', 'Brand#11')")
+def percolate_search_body(spark, sf_dir):
+    clauses = [{"term": {"type": "PROMO"}}, {"terms": {"brand": ["Brand#1", "Brand#11"]}}]
+    _, wanted = loader.parse_search({"query": {"bool": {"must": {"percolate": {"document": {"title": "any"}}}, "filter": clauses}}})
+    return stored(spark, sf_dir).match(part_titles(spark, sf_dir), "with_broad", wanted)
 
 
 @query("percolate_union_of_documents", f"WITH {MATCHED_SQL} SELECT query_id, count(DISTINCT title_id) AS slots, min(title_id) AS first_slot FROM m GROUP BY query_id")
@@ -222,7 +219,7 @@ def cost_class_counts(spark, sf_dir):
 def candidate_recall(spark, sf_dir):
     built, titles = stored(spark, sf_dir), part_titles(spark, sf_dir)
     found = built.candidates(titles, "with_broad").select("title_id", F.col("row_id").alias("query_id"))
-    return built.match(titles, "with_broad", strategy="brute").join(found, ["title_id", "query_id"], "left_semi")
+    return built.match(titles, "with_broad", strategy="broadcast").join(found, ["title_id", "query_id"], "left_semi")
 
 
 @query("posting_stats", f"""WITH {STORED_SQL.strip()}, p AS (SELECT CASE WHEN len(need) >= 2 THEN 'main' ELSE 'broad' END AS lane, array_to_string(need, '&') AS sig, count(*) AS n FROM q GROUP BY 1, 2),
@@ -251,6 +248,116 @@ def distinct_bodies(spark, sf_dir):
     return inspect.distinct_bodies(stored(spark, sf_dir))
 
 
+# --- a corpus of all kinds of queries: suppliers' queries against customers' titles ---------------------------------------
+
+SEGMENTS = ("automobile", "building", "furniture", "household", "machinery")
+_SECOND = "list_extract(['automobile', 'building', 'furniture', 'household', 'machinery'], CAST({} % 5 AS INTEGER) + 1)"
+CUSTOMER_SQL = f"SELECT c_custkey AS title_id, concat_ws(' ', 'id' || c_custkey, c_mktsegment, {_SECOND.format('c_custkey')}, 'n' || c_nationkey, 1950 + c_custkey % 60) AS title FROM customer"
+MIXED_SQL = f"""
+    s AS (SELECT s_suppkey AS query_id, s_suppkey % 8 AS kind, {_SECOND.format('s_suppkey // 8')} AS a, {_SECOND.format('(s_suppkey // 8 + 1 + s_suppkey % 3)')} AS b, 'n' || s_nationkey AS n, 'id' || (s_suppkey * 7) AS i, CAST(1950 + s_suppkey % 60 AS VARCHAR) AS y FROM supplier),
+    q AS (SELECT query_id, kind,
+            CASE kind WHEN 0 THEN ['term:' || i] WHEN 1 THEN ['term:' || a] WHEN 2 THEN ['term:' || a, 'term:' || b] WHEN 4 THEN ['year:' || y] WHEN 5 THEN ['term:' || n] WHEN 7 THEN ['term:' || b] ELSE [] END AS need,
+            CASE kind WHEN 3 THEN ['term:' || a, 'term:' || i] WHEN 5 THEN ['term:' || a, 'term:' || b] ELSE [] END AS alt,
+            CASE kind WHEN 3 THEN ['term:' || n] WHEN 4 THEN ['term:' || a] WHEN 6 THEN ['term:' || a] ELSE [] END AS bad,
+            CASE kind WHEN 7 THEN b || ' ' || n END AS phrase FROM s)"""
+MIXED_MATCH_SQL = f"{views_sql(CUSTOMER_SQL).replace('s AS (', 'sq AS (').replace('FROM s)', 'FROM sq)')}, {MIXED_SQL}, m AS (SELECT title_id, query_id, kind FROM v JOIN q ON list_has_all(pos, need) AND (len(alt) = 0 OR list_has_any(pos, alt)) AND NOT list_has_any(pos, bad) AND (phrase IS NULL OR contains(' ' || array_to_string(tok, ' ') || ' ', ' ' || phrase || ' ')))"
+
+
+def pick(number) -> Column:
+    return F.element_at(F.array(*map(F.lit, SEGMENTS)), (number % 5 + 1).cast("int"))
+
+
+def customer_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    title = F.concat_ws(" ", F.concat(F.lit("id"), key), "c_mktsegment", pick(key), F.concat(F.lit("n"), "c_nationkey"), (key % 60 + 1950).cast("string"))
+    return table(spark, sf_dir, "customer").select(key.alias("title_id"), title.alias("title"))
+
+
+def mixed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rare words, hot words, pairs, any-of groups, years, negations without and with a positive clause, phrases."""
+    key = F.col("s_suppkey")
+    eighth = F.floor(key / 8)
+    a, b, n = pick(eighth), pick(eighth + 1 + key % 3), F.concat(F.lit("n"), "s_nationkey")
+    i, y = F.concat(F.lit("id"), key * 7), (key % 60 + 1950).cast("string")
+    glue = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    forms = [i, a, glue(a, " ", b), glue("(", a, ",", i, ") -", n), glue(y, " -", a), glue(n, " (", a, ",", b, ")"), glue("-", a), glue('"', b, " ", n, '"')]
+    text = F.coalesce(*[F.when(key % 8 == k, form) for k, form in enumerate(forms)])
+    return table(spark, sf_dir, "supplier").select(key.alias("query_id"), text.alias("query"))
+
+
+def mixed(spark: SparkSession, sf_dir: str, theta: int = 0) -> QuerySet:
+    return QuerySet.build(mixed_queries(spark, sf_dir), mask=[f"term:{x}" for x in SEGMENTS], theta=theta, accept_class_d=True)
+
+
+@query("percolate_mixed", f"WITH {MIXED_MATCH_SQL} SELECT title_id, query_id FROM m")
+def percolate_mixed(spark, sf_dir):
+    return mixed(spark, sf_dir).match(customer_titles(spark, sf_dir), "with_broad")
+
+
+@query("percolate_mixed_shuffled", f"WITH {MIXED_MATCH_SQL} SELECT title_id, query_id FROM m")
+def percolate_mixed_shuffled(spark, sf_dir):
+    return mixed(spark, sf_dir).match(customer_titles(spark, sf_dir), "with_broad", strategy="shuffle")
+
+
+@query("percolate_mixed_standard", f"WITH {MIXED_MATCH_SQL} SELECT title_id, query_id FROM m WHERE kind NOT IN (1, 3, 6)")
+def percolate_mixed_standard(spark, sf_dir):
+    """Without the broad lane: a hot word alone, a group with a hot member, no positive clause."""
+    return mixed(spark, sf_dir).match(customer_titles(spark, sf_dir), "standard")
+
+
+@query("percolate_mixed_lanes", f"WITH {MIXED_MATCH_SQL} SELECT title_id, query_id FROM m")
+def percolate_mixed_lanes(spark, sf_dir):
+    return mixed(spark, sf_dir).match_lanes(customer_titles(spark, sf_dir), strategy="shuffle", broad_strategy="broadcast", broad_prefilter=True)
+
+
+@query("percolate_mixed_hot_lane", f"WITH {MIXED_MATCH_SQL} SELECT title_id, query_id FROM m")
+def percolate_mixed_hot_lane(spark, sf_dir):
+    return mixed(spark, sf_dir, theta=2).match(customer_titles(spark, sf_dir), "with_broad")
+
+
+@query("percolate_bodies", f"WITH {MATCHED_SQL}, b AS (SELECT p_partkey AS query_id, p_name FROM part) SELECT title_id, b.query_id FROM m JOIN b ON b.p_name = m.query")
+def percolate_bodies(spark, sf_dir):
+    """Every part's name is a query here, so most say what others say."""
+    queries = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
+    return QuerySet.build(queries).match_bodies(part_titles(spark, sf_dir), "with_broad")
+
+
+@query("mixed_cost_classes", f"WITH {MIXED_SQL.strip()} SELECT CASE WHEN kind IN (0, 4, 5) THEN 'A' WHEN kind IN (2, 7) AND (kind = 7 OR len(list_distinct(need)) = 2) THEN 'B' WHEN kind = 6 THEN 'D' ELSE 'C' END AS cost_class, count(*) AS n FROM q GROUP BY 1")
+def mixed_cost_classes(spark, sf_dir):
+    return inspect.class_counts(mixed(spark, sf_dir))
+
+
+@query("mixed_hot_classes", f"WITH {MIXED_SQL.strip()}, f AS (SELECT f, count(*) AS n FROM (SELECT unnest(list_distinct(need)) AS f FROM q WHERE kind IN (0, 4, 5)) GROUP BY f) SELECT CASE WHEN n >= 2 THEN 'H' ELSE 'A' END AS cost_class, count(*) AS n FROM q JOIN f ON f.f = need[1] WHERE kind IN (0, 4) GROUP BY 1")
+def mixed_hot_classes(spark, sf_dir):
+    """Rare words and years alone: in the hot lane if two queries or more have them."""
+    some = mixed_queries(spark, sf_dir).where("query_id % 8 in (0, 4)")
+    return inspect.class_counts(QuerySet.build(some, mask=[], theta=2))
+
+
+@query("percolate_copies", f"""WITH {views_sql()}, c AS (SELECT p_name, min(p_partkey) AS query_id, count(*) AS n FROM part GROUP BY p_name),
+    w AS (SELECT query_id, list_transform(string_split(p_name, ' '), lambda x: 'term:' || x) AS need FROM c)
+    SELECT DISTINCT title_id, query_id FROM v JOIN w ON list_has_all(pos, need) OR list_has_all(pos, ['term:promo', need[1]])""")
+def percolate_copies(spark, sf_dir):
+    """Two live copies of each query: a title matches the query if it matches one of them."""
+    return copies(spark, sf_dir).match(part_titles(spark, sf_dir), "with_broad")
+
+
+def copies(spark: SparkSession, sf_dir: str) -> QuerySet:
+    one = part_queries(spark, sf_dir).select("query_id", "query", "tags", "priority")
+    again = one.withColumn("query", F.concat(F.lit("promo "), F.split("query", " ")[0])).withColumn("priority", F.col("priority") + 1000)
+    both = one.withColumn("generation", F.lit(1).cast("long")).unionByName(again.withColumn("generation", F.lit(2).cast("long")))
+    return QuerySet.build(both.withColumn("row_id", F.col("query_id") * 2 + F.col("generation")))
+
+
+@query("rank_copies", f"""WITH {views_sql()}, c AS (SELECT p_name, min(p_partkey) AS query_id, min_by(p_size, p_partkey) AS p_size FROM part GROUP BY p_name),
+    w AS (SELECT query_id, p_size, list_transform(string_split(p_name, ' '), lambda x: 'term:' || x) AS need FROM c),
+    z AS (SELECT DISTINCT title_id, query_id, CAST(p_size AS BIGINT) + 1000 AS score FROM v JOIN w ON list_has_all(pos, need) OR list_has_all(pos, ['term:promo', need[1]])),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY title_id ORDER BY score DESC, query_id) AS INTEGER) AS rank FROM z) SELECT title_id, query_id, score, rank FROM r WHERE rank <= 2""")
+def rank_copies(spark, sf_dir):
+    """A match of any copy counts, the newest copy is scored."""
+    return rank.top_k(rank.scored(copies(spark, sf_dir), part_titles(spark, sf_dir), rank.RankSpec(), "with_broad"), 2)
+
+
 # --- ranking ---------------------------------------------------------------------------------------------------------------
 
 BOOSTS = (("type", "PROMO", 7), ("type", "PROMO", 100), ("brand", "Brand#11", 1000))
@@ -267,6 +374,15 @@ def rank_static_topk(spark, sf_dir):
     return rank.top_k(scores(spark, sf_dir), 3)
 
 
+@query("rank_batch_topk", f"WITH {RANKED_SQL.format(score=SCORE_SQL)} SELECT title_id, query_id, score, rank FROM r WHERE rank <= 2")
+def rank_batch_topk(spark, sf_dir):
+    """In batches, as one may hold 10,000 titles at most."""
+    built, titles, spec = stored(spark, sf_dir), part_titles(spark, sf_dir), rank.RankSpec(boosts=BOOSTS)
+    batches = -(-titles.count() // (rank.MAX_TITLES // 2))
+    dealt = [titles.where(F.pmod(F.xxhash64("title_id"), F.lit(batches)) == n) for n in range(batches)]
+    return reduce(DataFrame.unionByName, [rank.batch_top_k(built, some, spec, 2, "with_broad") for some in dealt])
+
+
 @query("rank_compat", f"WITH {RANKED_SQL.format(score='CASE WHEN p_type = ' + chr(39) + 'PROMO' + chr(39) + ' THEN 100 ELSE 0 END')} SELECT title_id, query_id, score, rank FROM r")
 def rank_compat(spark, sf_dir):
     return rank.ranked(scores(spark, sf_dir, rank.compat_score((("type", "PROMO", 100),), "brand"))).withColumn("score", F.col("score").cast("int"))
@@ -331,19 +447,11 @@ def idempotency_keys(spark, sf_dir):
     return part_queries(spark, sf_dir).select("query_id", deliver.idempotency_key("e-1", F.lit(3), F.col("query_id")).alias("key"))
 
 
-@query("explain_failures", f"""WITH {views_sql(PART_SQL + " WHERE p_partkey <= 200")} SELECT title_id, CAST(1 AS BIGINT) AS query_id, {has('bolt')} AND NOT {has('red')} AND ({has('small')} OR {has('new')}) AS matched,
+@query("explain_failures", f"""WITH {views_sql()} SELECT title_id, CAST(1 AS BIGINT) AS query_id, {has('bolt')} AND NOT {has('red')} AND ({has('small')} OR {has('new')}) AS matched,
     array_to_string(list_filter([CASE WHEN NOT {has('bolt')} THEN 'missing required: term:bolt' END, CASE WHEN {has('red')} THEN 'forbidden present: term:red' END, CASE WHEN NOT ({has('small')} OR {has('new')}) THEN 'any-of groups unmet: 1' END], lambda x: x IS NOT NULL), '; ') AS failures FROM v""")
 def explain_failures(spark, sf_dir):
     built = QuerySet.build(inline(spark, {1: "bolt -red (small,new)"}))
-    out = inspect.explain(built, part_titles(spark, sf_dir).where("title_id <= 200"))
-    return out.select("title_id", "query_id", "matched", F.array_join("failures", "; ").alias("failures"))
-
-
-@query("explain_failures_all", f"""WITH {views_sql()} SELECT title_id, CAST(1 AS BIGINT) AS query_id, {has('bolt')} AND NOT {has('red')} AND ({has('small')} OR {has('new')}) AS matched,
-    array_to_string(list_filter([CASE WHEN NOT {has('bolt')} THEN 'missing required: term:bolt' END, CASE WHEN {has('red')} THEN 'forbidden present: term:red' END, CASE WHEN NOT ({has('small')} OR {has('new')}) THEN 'any-of groups unmet: 1' END], lambda x: x IS NOT NULL), '; ') AS failures FROM v""")
-def explain_failures_all(spark, sf_dir):
-    built = QuerySet.build(inline(spark, {1: "bolt -red (small,new)"}))
-    out = inspect.explain(built, part_titles(spark, sf_dir))
+    out = inspect.explain(built, part_titles(spark, sf_dir).withColumn("query_id", F.lit(1).cast("long")))
     return out.select("title_id", "query_id", "matched", F.array_join("failures", "; ").alias("failures"))
 
 
@@ -386,6 +494,11 @@ def ingest_report(spark, sf_dir):
     return registry.ingest_report(order_ops(spark, sf_dir, "create"))
 
 
+@query("registry_metrics", f"WITH {OPS_SQL.format(second=chr(39) + 'create' + chr(39))}, {_LIVE_SQL}, g AS (SELECT *, max(CASE WHEN op IN ('index', 'delete') THEN seq END) OVER (PARTITION BY query_id) AS last FROM a WHERE NOT (op = 'create' AND live)), l AS (SELECT * FROM g WHERE op <> 'delete' AND (last IS NULL OR seq >= last)), n AS (SELECT (SELECT count(*) FROM o WHERE op <> 'delete') AS writes, CAST(0 AS BIGINT) AS refused, (SELECT count(*) FROM l) AS live, (SELECT count(DISTINCT query_id) FROM l) AS queries) SELECT *, writes - live AS gone, (writes - live) / writes AS holes FROM n")
+def registry_metrics(spark, sf_dir):
+    return registry.measured(order_ops(spark, sf_dir, "create"))
+
+
 # --- sources -----------------------------------------------------------------------------------------------------------------
 
 
@@ -403,6 +516,16 @@ def load_jsonl(spark, sf_dir):
     return loader.parse_jsonl(lines).where("error is null").select("query_id", "query")
 
 
+@query("load_bulk", "SELECT p_partkey AS seq, CASE WHEN p_partkey % 2 = 0 THEN 'index' ELSE 'create' END AS op, p_partkey AS query_id, p_name AS query, 'brand=' || p_brand || ',priority=' || p_size AS tags, CAST(p_size AS BIGINT) AS priority FROM part")
+def load_bulk(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    action = F.concat(F.lit('{"'), F.when(F.col("p_partkey") % 2 == 0, "index").otherwise("create"), F.lit('":{"_id":'), F.col("p_partkey"), F.lit("}}"))
+    source = F.to_json(F.struct(F.col("p_name").alias("query"), F.struct(F.col("p_brand").alias("brand")).alias("tags"), F.struct(F.col("p_size").alias("priority")).alias("rank_fields")))
+    lines = part.select((F.col("p_partkey") * 2).alias("line_no"), action.alias("value")).unionByName(part.select((F.col("p_partkey") * 2 + 1).alias("line_no"), source.alias("value")))
+    out = loader.parse_bulk_lines(lines).where("error is null")
+    return out.select("seq", "op", "query_id", "query", F.translate(F.array_join("tags", ","), C.SEP, "=").alias("tags"), "priority")
+
+
 @query("parse_errors", """SELECT * FROM (VALUES (1, 'TrailingDash', 4), (2, 'UnclosedQuote', 5), (3, 'UnclosedGroup', 0), (4, 'EmptyAnyOfGroup', 2), (5, 'ClassD', 0)) x(query_id, kind, pos)""")
 def parse_errors(spark, sf_dir):
     rows = {1: "foo - bar", 2: 'abcd "ef', 3: "(a,b", 4: "a ( , )", 5: "-manual", 6: "fine"}
@@ -467,6 +590,21 @@ def feedback_jaccard(spark, sf_dir):
     return out.withColumn("overlap", F.round("overlap", 6))
 
 
+@query("feedback_report", f"""WITH {MATCHED_SQL}, p AS (SELECT title_id, list_contains(tok, 'gear') AS ha, list_contains(tok, 'ring') AS hb FROM v),
+    f AS (SELECT DISTINCT query_id, ha, query FROM p JOIN m USING (title_id) WHERE ha <> hb), fk AS (SELECT * FROM f WHERE NOT list_has_any(string_split(query, ' '), ['gear', 'ring'])), fj AS (SELECT query_id, count(*) AS sides FROM fk GROUP BY 1),
+    fr AS (SELECT (SELECT count(*) FROM p WHERE ha AND NOT hb) AS titles_a, (SELECT count(*) FROM p WHERE hb AND NOT ha) AS titles_b, (SELECT count(*) FROM p WHERE ha AND hb) AS titles_both, (SELECT count(*) FROM fk WHERE ha) AS sampled_a, (SELECT count(*) FROM fk WHERE NOT ha) AS sampled_b, (SELECT count(*) FROM f) - (SELECT count(*) FROM fk) AS excluded, (SELECT coalesce(round(count(CASE WHEN sides = 2 THEN 1 END) / count(*), 6), 0) FROM fj) AS overlap)
+    SELECT 'gear' AS a, 'ring' AS b, titles_a, titles_b, titles_both, sampled_a, sampled_b, excluded, CASE WHEN sampled_a > 0 AND sampled_b > 0 THEN overlap ELSE 0.0 END AS overlap, overlap >= 0.1 AND least(titles_a, titles_b) >= 5 AND least(sampled_a, sampled_b) >= 1 AS validated FROM fr""")
+def feedback_report(spark, sf_dir):
+    """Two batches of titles, put together by their sketches."""
+    titles, queries, pairs = part_titles(spark, sf_dir), part_queries(spark, sf_dir), [("gear", "ring")]
+    built = QuerySet.build(queries)
+    seen = None
+    for side in (0, 1):
+        batch = titles.where(F.pmod(F.xxhash64("title"), F.lit(2)) == side)
+        seen = learn.merged(seen, learn.observe(batch, built.match(batch, "with_broad"), pairs))
+    return learn.report(seen, queries, pairs, 0.1, 5, 1).withColumn("overlap", F.round("overlap", 6))
+
+
 # --- streams -----------------------------------------------------------------------------------------------------------------
 
 

@@ -110,6 +110,21 @@ class AliasRegistry:
         if key in self.entries:
             self.entries[key] = replace(self.entries[key], feedback={"overlap": overlap, "titles_a": titles_a, "titles_b": titles_b, "queries_sampled": queries_sampled})
 
+    def apply(self, reports: Iterable[dict], activate: bool = False) -> tuple[int, list[Alias]]:
+        """Takes a report's rows in as evidence of the pairs that are known; with ``activate`` the validated candidates become
+        active.  How many were known, and what became active."""
+        known, out = 0, []
+        for r in reports:
+            key = self.key((r["a"], r["b"]))
+            if key not in self.entries:
+                continue
+            known += 1
+            self.record_feedback(key, r["overlap"], r["titles_a"], r["titles_b"], min(r["sampled_a"], r["sampled_b"]))
+            entry = self.entries[key]
+            if activate and r["validated"] and entry.status == "candidate" and entry.kind != "mixed_kind":
+                out.append(self.activate(key))
+        return known, out
+
     def activate_validated(self, min_overlap: float = 0.5, min_titles: int = 50, min_queries: int = 20) -> list[Alias]:
         """Candidates whose feedback reaches the bounds become active."""
         out = []

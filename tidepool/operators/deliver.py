@@ -6,11 +6,13 @@ import base64
 import hashlib
 import hmac
 import json
+import threading
 import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +70,8 @@ class Cancelled(RuntimeError):
     pass
 
 
-def deliver(matches: DataFrame, send: Callable[[int, int, list], None], cancelled: Callable[[], bool] = lambda: False, size: int = 512) -> list:
-    """Chunks to a sink in order, held one partition at a time; then the summary, which a failure never reaches."""
+def deliver(matches: DataFrame, send: Callable[[int, int, list], None], cancelled: Callable[[], bool] = lambda: False, size: int = 512) -> DataFrame:
+    """Chunks to a sink in order, held one partition at a time; then the summary, a table, which a failure never reaches."""
     held: list = []
     at: tuple | None = None
     for row in chunks(matches, size).orderBy("title_id", "sequence", "position").toLocalIterator():
@@ -82,7 +84,39 @@ def deliver(matches: DataFrame, send: Callable[[int, int, list], None], cancelle
         held.append(row)
     if at is not None:
         send(*at, held)
-    return summary(matches, size).collect()
+    return summary(matches, size)
+
+
+class DeadlineError(RuntimeError):
+    pass
+
+
+def within(spark, seconds: float, action: Callable[[], object]) -> object:
+    """What ``action`` gives, an action on Spark, if it takes no longer; else its jobs are cancelled and nothing of it comes back."""
+    group, late = f"deadline-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.sparkContext.cancelJobGroup(group)
+
+    if seconds <= 0:
+        raise DeadlineError(f"{seconds} seconds")
+    timer = threading.Timer(seconds, stop)
+    spark.sparkContext.setJobGroup(group, group, interruptOnCancel=True)
+    timer.start()
+    try:
+        out = action()
+    except Exception as e:
+        if late.is_set():
+            raise DeadlineError(f"{seconds} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            spark.sparkContext.setLocalProperty(name, None)
+    if late.is_set():
+        raise DeadlineError(f"{seconds} seconds")
+    return out
 
 
 def publish_at_least_once(publish: Callable[[str, bytes], None], key: str, payload: bytes, attempts: int = 3, delay: float = 0.0, cancelled: Callable[[], bool] = lambda: False) -> int:
@@ -155,6 +189,9 @@ class Cursors:
         body = json.dumps([pit, told, score, query_id]).encode()
         return base64.urlsafe_b64encode(self.sign(body) + body).decode()
 
+    def pit(self, token: str) -> str:
+        return json.loads(base64.urlsafe_b64decode(token)[32:])[0]
+
     def read(self, token: str, request: dict, states: PointInTime) -> tuple[object, tuple[int, int]]:
         """The pinned state and where to go on."""
         raw = base64.urlsafe_b64decode(token)
@@ -171,31 +208,65 @@ class Cursors:
 
 @dataclass
 class Jobs:
-    """Deliveries by event id: one that is there already is returned, not run again."""
+    """Deliveries by event id, each in a thread of its own; one that is there already is returned, not run again.
+
+    ``work`` gets a function that tells whether it is cancelled; its Spark jobs are cancelled as well.  Only a completed job has
+    a result, which is handed out once."""
 
     most: int = 256
     jobs: dict[str, dict] = field(default_factory=dict)
-
-    def create(self, event_id: str, spark, work: Callable[[], object]) -> dict:
-        if event_id in self.jobs:
-            return self.jobs[event_id]
-        if len(self.jobs) >= self.most:
-            raise RuntimeError("too many jobs")
-        job = self.jobs[event_id] = {"id": event_id, "status": "running", "result": None, "error": None}
-        spark.sparkContext.setJobGroup(event_id, event_id, interruptOnCancel=True)
-        try:
-            job["result"] = work()
-            job["status"] = "completed"
-        except Cancelled:
-            job["status"] = "cancelled"
-        except Exception as e:  # noqa: BLE001  the job's state tells
-            job["status"], job["error"] = "failed", str(e)
-        return job
-
-    def cancel(self, event_id: str, spark) -> None:
-        spark.sparkContext.cancelJobGroup(event_id)
-        if self.jobs[event_id]["status"] == "running":
-            self.jobs[event_id]["status"] = "cancelled"
+    lock: threading.Lock = field(default_factory=threading.Lock)
+
+    def create(self, event_id: str, spark, work: Callable[[Callable[[], bool]], object]) -> dict:
+        with self.lock:
+            if event_id in self.jobs:
+                return self.status(event_id)
+            if len(self.jobs) >= self.most:
+                raise RuntimeError("too many jobs")
+            job = self.jobs[event_id] = {"id": event_id, "status": "running", "result": None, "error": None, "stop": threading.Event(), "group": f"job-{uuid.uuid4().hex}"}
+
+        def run() -> None:
+            spark.sparkContext.setJobGroup(job["group"], event_id, interruptOnCancel=True)
+            try:
+                result = work(job["stop"].is_set)
+                if job["stop"].is_set():
+                    raise Cancelled
+                job["result"], job["status"] = result, "completed"
+            except Exception as e:  # noqa: BLE001  the job's state tells
+                job["status"], job["error"] = ("cancelled", None) if job["stop"].is_set() or isinstance(e, Cancelled) else ("failed", str(e))
+
+        job["thread"] = InheritableThread(target=run, daemon=True)
+        job["thread"].start()
+        return self.status(event_id)
+
+    def status(self, event_id: str) -> dict:
+        job = self.jobs[event_id]
+        return {k: job[k] for k in ("id", "status", "error")}
+
+    def wait(self, event_id: str, seconds: float | None = None) -> dict:
+        self.jobs[event_id]["thread"].join(seconds)
+        return self.status(event_id)
+
+    def result(self, event_id: str) -> object:
+        """The result of a completed job, to the first who asks."""
+        with self.lock:
+            job = self.jobs[event_id]
+            if job["status"] != "completed" or job["result"] is None:
+                raise RuntimeError(f"job {event_id} is {job['status']}" if job["status"] != "completed" else "the result was handed out")
+            out, job["result"] = job["result"], None
+            return out
+
+    def cancel(self, event_id: str, spark) -> dict:
+        job = self.jobs[event_id]
+        if job["status"] == "running":
+            job["stop"].set()
+            spark.sparkContext.cancelJobGroup(job["group"])
+        return self.status(event_id)
 
     def delete(self, event_id: str) -> dict | None:
-        return self.jobs.pop(event_id, None)
+        """Forgets a job that is over."""
+        with self.lock:
+            if event_id in self.jobs and self.jobs[event_id]["status"] == "running":
+                raise RuntimeError(f"job {event_id} is running")
+            job = self.jobs.pop(event_id, None)
+        return job and {k: job[k] for k in ("id", "status", "error")}

@@ -12,10 +12,10 @@ from .match import QuerySet, phrases_hold, title_views
 
 
 def explain(query_set: QuerySet, titles: DataFrame) -> DataFrame:
-    """``title_id, query_id, candidate, matched, cost_class, title_features, failures`` for every title and live copy: meant
-    for a few of each.  A failure names the clause that does not hold."""
-    views = title_views(titles.select("title_id", "title"), query_set.analyzer)
-    rows = views.join(F.broadcast(query_set.rows))
+    """``title_id, query_id, candidate, matched, cost_class, title_features, failures`` for each of ``titles(title_id, title,
+    query_id)`` and every live copy of its query.  A failure names the clause that does not hold."""
+    views = title_views(titles.select("title_id", "title", "query_id"), query_set.analyzer)
+    rows = views.join(query_set.rows, "query_id")
     if query_set.analyzer.plain:
         phrase = F.forall("required_phrases", lambda g: C.phrase_occurs(g, F.col("sequence")))
         banned = F.exists("forbidden_phrases", lambda g: C.phrase_occurs(g, F.col("sequence")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,22 +132,49 @@ def learn_phrases(texts: DataFrame, min_count: int = 3, tau: float = 0.3, iterat
 # --- distributional pairs ------------------------------------------------------------------------------------------------
 
 
-def positive_bags(queries: DataFrame) -> DataFrame:
-    """``query_id, w``: the distinct tokens of each query's positive clauses."""
+def positive_bags(queries: DataFrame, phrases: list[str] | None = None) -> DataFrame:
+    """``query_id, w``: the distinct tokens of each query's positive clauses; neighbours in a clause that are one of ``phrases``
+    (``a_b``) are one token."""
 
     @F.udf("string", useArrow=True)
     def positive(text: str) -> str:
+        """A line for each clause; neighbouring plain words are one."""
         try:
-            return " \n ".join(" ".join(c.members) if c.kind == "anyof" else c.text for c in parse(text or "") if not c.negated)
+            clauses = [c for c in parse(text or "") if not c.negated]
         except QueryError:
             return ""
+        runs = groupby(enumerate(clauses), lambda k: -1 if k[1].kind == "term" else k[0])
+        return " \n ".join(" ".join(" ".join(c.members) if c.kind == "anyof" else c.text for _, c in run) for _, run in runs)
 
-    return queries.select("query_id", F.array_distinct(corpus_tokens(positive("query"))).alias("w"))
+    if not phrases:
+        return queries.select("query_id", F.array_distinct(corpus_tokens(positive("query"))).alias("w"))
+    known = F.split(F.lit(" ".join(phrases)), " ")
+    clauses = F.transform(F.split(positive("query"), "\n"), lambda c: glued(corpus_tokens(c), known))
+    return queries.select("query_id", F.array_distinct(F.flatten(clauses)).alias("w"))
 
 
-def discover_pairs(queries: DataFrame, min_count: int = 10, vocabulary: int = 4096, similarity: float = 0.6, together: float = 0.05, top: int = 100, bags: DataFrame | None = None) -> DataFrame:
-    """``a, b, similarity, together``: words that are used alike (cosine of their PPMI contexts) but hardly in one query."""
-    bags = positive_bags(queries) if bags is None else bags
+def plain_runs(queries: DataFrame) -> DataFrame:
+    """``query_id, w``: the tokens of the plain words of each query in order, as they may form phrases."""
+
+    @F.udf("string", useArrow=True)
+    def words(text: str) -> str:
+        try:
+            return " ".join(c.text for c in parse(text or "") if not c.negated and c.kind != "anyof")
+        except QueryError:
+            return ""
+
+    return queries.select("query_id", corpus_tokens(words("query")).alias("w"))
+
+
+def discover_pairs(queries: DataFrame, min_count: int = 10, vocabulary: int = 4096, similarity: float = 0.6, together: float = 0.05, top: int = 100, bags: DataFrame | None = None, glue: bool = False, tau: float = 0.3) -> DataFrame:
+    """``a, b, similarity, together``: words that are used alike (cosine of their PPMI contexts) but hardly in one query.
+
+    ``glue``: words that stand together more than by chance (``min_count``, ``tau``) are one token first, and a pair whose
+    tokens share a word is none."""
+    if bags is None:
+        runs = plain_runs(queries) if glue else None
+        found = npmi_phrases(runs, min_count, tau, "w", "query_id", F.col("w")).orderBy(F.desc("n"), "a", "b").collect() if glue else []  # phrases of the vocabulary's size
+        bags = positive_bags(queries, [f"{r.a}_{r.b}" for r in found])
     rows = bags.select("query_id", F.explode("w").alias("w"))
     n = bags.where(F.size("w") > 0).agg(F.count(F.lit(1)).alias("total"))
     often = rows.groupBy("w").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_count).orderBy(F.desc("k"), "w").limit(vocabulary)
@@ -160,6 +188,8 @@ def discover_pairs(queries: DataFrame, min_count: int = 10, vocabulary: int = 40
     met = dots.join(norms.select(F.col("a").alias("x"), F.col("norm").alias("nx")), "x").join(norms.select(F.col("a").alias("y"), F.col("norm").alias("ny")), "y")
     pairs = counts.select(F.col("a").alias("x"), F.col("b").alias("y"), (F.col("c") / F.least("ka", "kb")).alias("together"))
     out = met.join(pairs, ["x", "y"], "left").select(F.col("x").alias("a"), F.col("y").alias("b"), (F.col("dot") / (F.col("nx") * F.col("ny"))).alias("similarity"), F.coalesce("together", F.lit(0.0)).alias("together"))
+    if glue:
+        out = out.where(~F.arrays_overlap(F.split("a", "_"), F.split("b", "_")))
     return out.where((F.col("similarity") >= similarity) & (F.col("together") <= F.lit(together))).orderBy(F.desc("similarity"), "a", "b").limit(top)
 
 
@@ -194,32 +224,92 @@ def record_candidates(pairs: DataFrame, aliases: AliasRegistry, analyzer=None) -
 
 # --- feedback ------------------------------------------------------------------------------------------------------------
 
+#: A sketch keeps this many of a side's queries, and an overlap is taken from so many of the union.
+RAW, SAMPLE = 1024, 256
+
+
+def holds_run(words: Column, run: Column) -> Column:
+    """Whether ``run`` stands in ``words`` in one piece."""
+    at = F.when(F.size(words) >= F.size(run), F.sequence(F.lit(1), F.size(words) - F.size(run) + 1)).otherwise(F.array().cast("array<int>"))
+    return F.exists(at, lambda i: F.slice(words, i, F.size(run)) == run)
+
+
+def forms_held(texts: DataFrame, id_column: str, text_column: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """``id, a, b, ha, hb``: which of a pair's forms a text holds, for texts that hold one.  Texts meet forms by the forms'
+    first words; the pairs are a list of the driver's."""
+    rows = [(a, b, side, form.lower().split(" ")) for a, b in pairs for side, form in (("a", a), ("b", b))]
+    forms = texts.sparkSession.createDataFrame(rows, "a string, b string, side string, run array<string>").withColumn("first", F.get("run", F.lit(0)))
+    words = texts.select(F.col(id_column).alias("id"), corpus_tokens(F.col(text_column)).alias("w"))
+    met = words.withColumn("first", F.explode(F.array_distinct("w"))).join(F.broadcast(forms), "first").where(holds_run(F.col("w"), F.col("run")))
+    return met.groupBy("id", "a", "b").agg(F.bool_or(F.col("side") == "a").alias("ha"), F.bool_or(F.col("side") == "b").alias("hb"))
+
 
 def feedback(titles: DataFrame, matches: DataFrame, pairs: list[tuple[str, str]], queries: DataFrame | None = None) -> DataFrame:
     """``a, b, titles_a, titles_b, titles_both, queries_sampled, overlap``: for each pair of forms how many titles hold
     only one or both, and how far the queries that match the ones and the others are the same (Jaccard).
 
     Queries whose own text names one of the forms are left out when ``queries`` is given."""
-    spark = titles.sparkSession
-    forms = spark.createDataFrame(pairs, "a string, b string") if pairs else spark.createDataFrame([], "a string, b string")
-    forms = forms.withColumn("ta", F.split(F.lower("a"), " ")).withColumn("tb", F.split(F.lower("b"), " "))
-
-    def holds(words: Column, run: Column) -> Column:
-        at = F.when(F.size(words) >= F.size(run), F.sequence(F.lit(1), F.size(words) - F.size(run) + 1)).otherwise(F.array().cast("array<int>"))
-        return F.exists(at, lambda i: F.slice(words, i, F.size(run)) == run)
-
-    words = titles.select("title_id", corpus_tokens(F.col("title")).alias("w"))
-    seen = words.join(F.broadcast(forms)).select("title_id", "a", "b", holds(F.col("w"), F.col("ta")).alias("ha"), holds(F.col("w"), F.col("tb")).alias("hb")).where("ha or hb")
+    seen = forms_held(titles, "title_id", "title", pairs).withColumnRenamed("id", "title_id")
     counts = seen.groupBy("a", "b").agg(*[F.count(F.when(F.expr(c), 1)).alias(n) for n, c in (("titles_a", "ha and not hb"), ("titles_b", "hb and not ha"), ("titles_both", "ha and hb"))])
     found = seen.where("ha <> hb").join(matches, "title_id").select("a", "b", "query_id", "ha").distinct()
     if queries is not None:
-        own = queries.select("query_id", corpus_tokens(F.col("query")).alias("w")).join(F.broadcast(forms)).where(holds(F.col("w"), F.col("ta")) | holds(F.col("w"), F.col("tb"))).select("a", "b", "query_id")
+        own = forms_held(queries, "query_id", "query", pairs).select("a", "b", F.col("id").alias("query_id"))
         found = found.join(own, ["a", "b", "query_id"], "left_anti")
     sides = found.groupBy("a", "b", "query_id").agg(F.count(F.lit(1)).alias("sides"))
     jaccard = sides.groupBy("a", "b").agg(F.count(F.lit(1)).alias("queries_sampled"), (F.count(F.when(F.col("sides") == 2, 1)) / F.count(F.lit(1))).alias("overlap"))
     return counts.join(jaccard, ["a", "b"], "left").select("a", "b", "titles_a", "titles_b", "titles_both", F.coalesce("queries_sampled", F.lit(0).cast("long")).alias("queries_sampled"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 
+def smallest(found: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
+    """Of each key's distinct queries those of the smallest hashes, ties to the smaller id."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "query_id"))
+    return found.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+
+
+def observe(titles: DataFrame, matches: DataFrame, pairs: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """What a batch tells of pairs of forms: (``a, b, titles_a, titles_b, titles_both``; the sketch ``a, b, side, hash,
+    query_id`` of the queries that match titles with only one of the forms: per side those of the ``RAW`` smallest hashes).
+    Both merge with those of other batches as if all had been one."""
+    seen = forms_held(titles, "title_id", "title", pairs).withColumnRenamed("id", "title_id")
+    counts = seen.groupBy("a", "b").agg(*[F.count(F.when(F.expr(c), 1)).alias(n) for n, c in (("titles_a", "ha and not hb"), ("titles_b", "hb and not ha"), ("titles_both", "ha and hb"))])
+    found = seen.where("ha <> hb").join(matches, "title_id").select("a", "b", F.when(F.col("ha"), "a").otherwise("b").alias("side"), F.xxhash64("query_id").alias("hash"), "query_id").distinct()
+    return counts, smallest(found, ["a", "b", "side"], "hash", RAW)
+
+
+def merged(one: tuple[DataFrame, DataFrame] | None, other: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Two batches' observations as one."""
+    if one is None:
+        return other
+    counts = one[0].unionByName(other[0]).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("titles_a", "titles_b", "titles_both")])
+    return counts, smallest(one[1].unionByName(other[1]).distinct(), ["a", "b", "side"], "hash", RAW)
+
+
+def report(observed: tuple[DataFrame, DataFrame], queries: DataFrame, pairs: list[tuple[str, str]], min_overlap: float = 0.5, min_titles: int = 50, min_queries: int = 20) -> DataFrame:
+    """``a, b, titles_a, titles_b, titles_both, sampled_a, sampled_b, excluded, overlap, validated``.
+
+    Sampled queries whose own text names one of the forms, and those that are no longer live, are left out.  The overlap is the
+    Jaccard index of the two sides over the union's ``SAMPLE`` smallest hashes: exact while that many hold all.  A pair is
+    validated if the overlap, both sides' titles and both sides' sampled queries reach their bounds."""
+    counts, sketch = observed
+    own = forms_held(queries, "query_id", "query", pairs).select("a", "b", F.col("id").alias("query_id")).withColumn("own", F.lit(True))
+    told = sketch.join(queries.select("query_id", F.lit(True).alias("live")).distinct(), "query_id", "left").join(own, ["a", "b", "query_id"], "left")
+    good = F.col("live").isNotNull() & F.col("own").isNull()
+    excluded = told.groupBy("a", "b").agg(F.count(F.when(~good, 1)).alias("excluded"))
+    kept = smallest(told.where(good).select("a", "b", "side", "hash", "query_id"), ["a", "b", "side"], "hash", SAMPLE)
+    sampled = kept.groupBy("a", "b").agg(*[F.count(F.when(F.col("side") == x, 1)).alias(f"sampled_{x}") for x in "ab"])
+    union = smallest(kept.groupBy("a", "b", "hash", "query_id").agg(F.count(F.lit(1)).alias("sides")), ["a", "b"], "hash", SAMPLE)
+    overlap = union.groupBy("a", "b").agg((F.count(F.when(F.col("sides") == 2, 1)) / F.count(F.lit(1))).alias("overlap"))
+    out = counts
+    for more in (sampled, excluded, overlap):
+        out = out.join(more, ["a", "b"], "left")
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("sampled_a", "sampled_b", "excluded")]
+    both = (F.col("sampled_a") > 0) & (F.col("sampled_b") > 0)
+    out = out.select("a", "b", "titles_a", "titles_b", "titles_both", *numbers, F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+    out = out.withColumn("overlap", F.when(both, F.col("overlap")).otherwise(0.0))
+    fine = (F.col("overlap") >= min_overlap) & (F.least("titles_a", "titles_b") >= min_titles) & (F.least("sampled_a", "sampled_b") >= min_queries)
+    return out.withColumn("validated", fine)
+
+
 def learn_vocabulary(queries: DataFrame, min_count: int = 2, equivalences: bool = False, phrases: bool = False, tau: float = 0.3, npmi_min: int = 3, iterations: int = 2, most: int | None = None) -> Vocabulary:
     """A vocabulary from any-of groups, as synonyms and phrases or as equivalences, with phrases of the corpus if asked.
     All of them come to the driver; more than ``most`` of a kind, if it is given, are an error."""

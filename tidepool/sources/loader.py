@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.columns import SEP
@@ -131,6 +132,35 @@ def priority_of(body: dict, tags: list[str]) -> tuple[int, list[str]]:
     return value, sorted({*tags, f"priority{SEP}{value}"})
 
 
+def bulk_action(line: str) -> tuple[str, int]:
+    """(op, id) of an action line."""
+    try:
+        ((op, meta),) = json.loads(line).items()
+        query_id = int(meta["_id"])
+    except (ValueError, KeyError, TypeError, AttributeError):
+        raise BodyError(f"action {line!r}") from None
+    if op not in ("index", "create") or set(meta) != {"_id"} or not 0 <= query_id <= TOP:
+        raise BodyError(f"action {line!r}")
+    return op, query_id
+
+
+def bulk_source(line: str) -> dict:
+    """``query, version, tags, priority, error`` of a source line."""
+    row = {"query": None, "version": 1, "tags": [], "priority": 0, "error": None}
+    try:
+        source = json.loads(line, parse_float=_Number)
+        if not isinstance(source, dict) or not isinstance(source.get("query"), str):
+            raise BodyError("no query")
+        version = source.get("version", 1)
+        if not isinstance(version, int) or isinstance(version, bool) or not 0 <= version < 1 << 32:
+            raise BodyError("version")
+        priority, tags = priority_of(source, tags_of(source))
+        row |= {"query": source["query"], "version": version, "tags": tags, "priority": priority}
+    except ValueError as e:
+        row["error"] = str(e)
+    return row
+
+
 def parse_bulk(body: str, first_seq: int = 0) -> list[dict]:
     """A bulk body's operations in order: an action line {"index"|"create": {"_id": n}} and a source line each.
 
@@ -143,30 +173,44 @@ def parse_bulk(body: str, first_seq: int = 0) -> list[dict]:
         raise BodyError("lines are blank or without a partner")
     out = []
     for k in range(0, len(lines), 2):
-        try:
-            action = json.loads(lines[k])
-            ((op, meta),) = action.items()
-            query_id = int(meta["_id"])
-        except (ValueError, KeyError, TypeError, AttributeError):
-            raise BodyError(f"action {lines[k]!r}") from None
-        if op not in ("index", "create") or set(meta) != {"_id"} or not 0 <= query_id <= TOP:
-            raise BodyError(f"action {lines[k]!r}")
-        row = {"seq": first_seq + k // 2, "op": op, "query_id": query_id, "query": None, "version": 1, "tags": [], "priority": 0, "error": None}
-        try:
-            source = json.loads(lines[k + 1], parse_float=_Number)
-            if not isinstance(source, dict) or not isinstance(source.get("query"), str):
-                raise BodyError("no query")
-            version = source.get("version", 1)
-            if not isinstance(version, int) or isinstance(version, bool) or not 0 <= version < 1 << 32:
-                raise BodyError("version")
-            priority, tags = priority_of(source, tags_of(source))
-            row |= {"query": source["query"], "version": version, "tags": tags, "priority": priority}
-        except ValueError as e:
-            row["error"] = str(e)
-        out.append(row)
+        op, query_id = bulk_action(lines[k])
+        out.append({"seq": first_seq + k // 2, "op": op, "query_id": query_id} | bulk_source(lines[k + 1]))
     return out
 
 
+def parse_bulk_lines(lines: DataFrame, first_seq: int = 0) -> DataFrame:
+    """As ``parse_bulk``, of ``line_no, value`` with lines numbered from 0 without gaps: ``seq, op, query_id, query, version, tags,
+    priority, error``, however many they are.  A wrong framing is an error when the rows are read."""
+    halves = [F.max(F.when(F.col("line_no") % 2 == k, F.col("value"))).alias(n) for k, n in enumerate(("action", "source"))]
+    pairs = lines.groupBy(F.floor(F.col("line_no") / 2).cast("long").alias("item")).agg(*halves)
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for item, action, source in zip(frame["item"], frame["action"], frame["source"], strict=True):
+                if action is None or source is None or not action.strip() or not source.strip():
+                    raise BodyError("lines are blank or without a partner")
+                op, query_id = bulk_action(action)
+                rows.append({"seq": first_seq + item, "op": op, "query_id": query_id} | bulk_source(source))
+            yield pd.DataFrame(rows, columns=["seq", "op", "query_id", "query", "version", "tags", "priority", "error"])
+
+    return pairs.mapInPandas(run, "seq long, op string, query_id long, query string, version long, tags array<string>, priority long, error string")
+
+
+def consecutive(lines: DataFrame) -> DataFrame:
+    """``line_no, value`` of a file's lines, numbered from 0 without gaps: places within partitions, after the sizes of those
+    before."""
+    lines = lines.withColumn("_p", F.shiftright("line_no", 33)).withColumn("_at", F.col("line_no").bitwiseAND((1 << 33) - 1))
+    before = F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = lines.groupBy("_p").count().select("_p", F.coalesce(before, F.lit(0)).alias("_before"))  # a row a partition
+    return lines.join(F.broadcast(sizes), "_p").select((F.col("_before") + F.col("_at")).alias("line_no"), "value")
+
+
+def load_bulk(spark: SparkSession, path: str, first_seq: int = 0) -> DataFrame:
+    """The operations of a file in the bulk form."""
+    return parse_bulk_lines(consecutive(numbered_lines(spark, path)), first_seq)
+
+
 # --- filters from requests -----------------------------------------------------------------------------------------------
 
 

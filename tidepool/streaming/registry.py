@@ -318,10 +318,7 @@ class Registry:
 
     def metrics(self) -> DataFrame:
         """One row: operations, live rows, queries, replaced or deleted rows and their share, refusals."""
-        ops, rows = self.ops(), self.rows()
-        a = ops.agg(F.count(F.when(F.col("op") != "delete", 1)).alias("writes"), F.count("refused").alias("refused"))
-        b = rows.agg(F.count(F.lit(1)).alias("live"), F.countDistinct("query_id").alias("queries"))
-        return figures(a.join(F.broadcast(b)))  # one row each
+        return measured(self.ops())
 
     def segments(self) -> DataFrame:
         """The log's batches: ``batch, position, operations, first_seq, last_seq``."""
@@ -333,10 +330,13 @@ class Registry:
         return out
 
 
-def figures(counts: DataFrame) -> DataFrame:
-    """``gone`` and ``holes`` beside ``writes, refused, live``."""
+def measured(ops: DataFrame) -> DataFrame:
+    """One row about a log with ``refused``: ``writes, refused, live, queries``, ``gone`` (replaced or deleted) and the share
+    ``holes`` of it."""
+    a = ops.agg(F.count(F.when(F.col("op") != "delete", 1)).alias("writes"), F.count("refused").alias("refused"))
+    b = live(ops).agg(F.count(F.lit(1)).alias("live"), F.countDistinct("query_id").alias("queries"))
     gone = F.col("writes") - F.col("refused") - F.col("live")
-    return counts.withColumn("gone", gone).withColumn("holes", gone / F.greatest(F.col("writes") - F.col("refused"), F.lit(1)))
+    return a.join(F.broadcast(b)).withColumn("gone", gone).withColumn("holes", gone / F.greatest(F.col("writes") - F.col("refused"), F.lit(1)))  # one row each
 
 
 def should_compact(sizes: list[int], dead: int, most_batches: int = 8, most_holes: float = 0.3) -> bool:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from tidepool.operators import learn
 from tidepool.operators.match import QuerySet
 
 from .registry import Registry
@@ -46,9 +47,20 @@ def apply_operations(ops: DataFrame, registry: Registry) -> DataStreamWriter:
     return ops.writeStream.foreachBatch(run)
 
 
-def merge_feedback(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Feedback counts of batches summed; the overlap is weighted by the queries seen."""
-    both = new if old is None else old.unionByName(new)
-    weight = F.greatest(F.sum("queries_sampled"), F.lit(1))
-    sums = [F.sum(c).alias(c) for c in ("titles_a", "titles_b", "titles_both", "queries_sampled")]
-    return both.groupBy("a", "b").agg(*sums, (F.sum(F.col("overlap") * F.col("queries_sampled")) / weight).alias("overlap"))
+def collect_feedback(titles: DataFrame, snapshot: Callable[[], QuerySet], pairs: list[tuple[str, str]], path: str) -> DataStreamWriter:
+    """What the titles of a stream tell of pairs of forms, a batch's counts and sketches in folders of its number, so a batch
+    that comes again writes the same; ``gathered`` puts them together."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch = batch.select("title_id", "title").persist()
+        counts, sketch = learn.observe(batch, snapshot().match(batch, "with_broad"), pairs)
+        counts.write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+        sketch.write.mode("overwrite").parquet(f"{path}/sketches/batch={number}")
+        batch.unpersist()
+
+    return titles.writeStream.foreachBatch(run)
+
+
+def gathered(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """All batches' observations as one."""
+    return learn.merged((spark.read.parquet(f"{path}/counts").drop("batch"), spark.read.parquet(f"{path}/sketches").drop("batch")), (spark.read.parquet(f"{path}/counts").drop("batch").limit(0), spark.read.parquet(f"{path}/sketches").drop("batch").limit(0)))
