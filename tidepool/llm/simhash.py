@@ -95,23 +95,25 @@ def links(reps: DataFrame, distance: int = 4, blocks: int | None = None, tile: i
     spanning forest of the links is kept.  A larger bucket is cut into tiles, and each pair of tiles is a
     bucket of its own, so none holds over twice ``tile`` rows and no pair is lost.
 
-    Buckets of one row are left out while the list of the others is short enough to send to all tasks.  Beyond, only
-    the large buckets are looked up, for which rows are salted, so that no bucket gathers before it is cut."""
+    Buckets of one row are left out.  Where the list of the others is too long to send to all tasks, rows of large buckets
+    meet their sizes where they are, or salted, and only the others shuffle, so that no bucket gathers before it is cut."""
     masks = block_masks(distance, blocks or blocks_for(reps.count(), distance))
     spread = reps.select("fp", "node", F.posexplode(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])).alias("mask", "bits"))
     spread = spread.select("fp", "node", "mask", F.col("fp").bitwiseAND(F.col("bits")).alias("key"))
     sizes = written(spread.groupBy("mask", "key").count().where("count > 1"), "sizes")
     tiles = F.ceil(F.col("count") / tile).cast("int").alias("tiles")
+    on = ["mask", "key"]
     if sizes.count() <= BROADCAST_ROWS:
-        met = spread.join(F.broadcast(sizes.select("mask", "key", tiles)), ["mask", "key"])
+        met = spread.join(F.broadcast(sizes.select(*on, tiles)), on)
     else:
-        large = sizes.where(F.col("count") > tile).select("mask", "key", tiles)
+        large, small = sizes.where(F.col("count") > tile).select(*on, tiles), sizes.where(F.col("count") <= tile).select(*on, tiles)
         if large.count() <= BROADCAST_ROWS:
-            met = spread.join(F.broadcast(large), ["mask", "key"], "left")
+            hot, rest = spread.join(F.broadcast(large), on), spread.join(F.broadcast(large.select(*on)), on, "left_anti")
         else:
             copies = large.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-            met = spread.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(copies, ["mask", "key", "salt"], "left")
-        met = met.withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+            told = spread.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(copies, [*on, "salt"], "left").drop("salt")
+            hot, rest = told.where("tiles is not null"), told.where("tiles is null").drop("tiles")
+        met = hot.unionByName(rest.join(small, on))
     own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     pairs = F.when(F.col("tiles") == 1, F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("own")).alias("lo"), F.greatest(t, F.col("own")).alias("hi")))
