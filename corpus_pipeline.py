@@ -39,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = near_duplicates(placed, keep=("_place",))
     best = groups.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "_place")).alias("best"))
     stay = written(best.select(F.col("best._place").alias("_place")), "stay")
-    return placed.join(stay, "_place", "left_semi").select(*docs.columns)
+    return placed.join(stay.hint("merge"), "_place", "left_semi").select(*docs.columns)  # places are as many as documents: never broadcast
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
