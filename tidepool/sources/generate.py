@@ -5,13 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 MASK = (1 << 64) - 1
-BRANDS = ("norvik", "tallow", "quill ridge", "brightmoor", "ostra", "kestrel bay", "fenwick", "lumora")
-ITEMS = ("lantern", "kettle", "saddle", "clock", "violin", "compass", "chair", "globe")
-TRAITS = ("brass", "walnut", "enamel", "travel", "antique", "signed", "mini")
-VARIANTS = ("green", "ivory", "black", "copper", "navy", "rose", "amber", "pearl", "slate", "teal", "plum", "sand")
-NEGATIVES = ("replica", "broken", "parts", "manual", "box", "reprint")
-NOISE = ("rare", "lovely", "vintage", "mint", "look", "nice", "estate", "lot", "old", "sale")
-FOLDED = {"a": "á", "e": "é", "i": "í", "o": "ö", "u": "ü", "n": "ñ", "c": "ç", "s": "š"}
+BRANDS = ("norvik", "tallow", "quill ridge", "brightmoor", "ostra", "kestrel bay", "fenwick", "lumora", "hollin")
+ITEMS = ("lantern", "kettle", "saddle", "clock", "violin", "compass", "chair", "globe", "easel", "teapot")
+TRAITS = ("brass", "walnut", "enamel", "folding", "carved", "quilted", "tiny", "striped", "hooded")
+VARIANTS = ("ivory", "copper", "rose", "amber", "pearl", "slate", "teal", "plum", "sand", "moss")
+NEGATIVES = ("copy", "torn", "pieces", "leaflet", "carton")
+NOISE = ("lovely", "neat", "estate", "attic", "sale", "old", "grand", "spare", "parcel", "gift", "charming")
+FOLDED = {"a": "ā", "e": "ë", "i": "ī", "o": "ō", "u": "ü", "n": "ń", "y": "ÿ"}
 JUNK = ("™", "★", "世界", "привет", "½", "!!!", "~")
 
 
