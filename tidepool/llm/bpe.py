@@ -381,7 +381,8 @@ def codec_of(tokenizer: str, lexicon: str | None) -> Codec:
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, lexicon: str | None, batch: int = 256) -> DataFrame:
-    """``doc_id, ids, n_tokens, decoded``: ids comma-joined, and the text that they decode to.  Null texts count as empty."""
+    """``doc_id, ids, n_tokens, decoded``: ids comma-joined, and the text that they decode to.  Null texts count as empty.  One
+    row per row of ``docs``, repeated and null ids too; other columns are not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(tokenizer, lexicon)

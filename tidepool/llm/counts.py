@@ -95,7 +95,8 @@ def counter(tokenizer: str) -> Counter:
 
 def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``doc_id, n_tokens``: pieces in the best unigram segmentation of each pre-token, summed over the whole text; an added
-    token counts one.  Null texts count as empty: none."""
+    token counts one.  Null texts count as empty: none.  One row per row of ``docs``, repeated and null ids too; of
+    segmentations that score the same the count is that of the first found.  Other columns are not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)

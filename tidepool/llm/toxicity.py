@@ -327,7 +327,7 @@ def regress(held: list[list[int]], y: np.ndarray, n: int, weight: dict[int, floa
 
 def scores(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``docs``, or its columns ``keep``, with ``score`` (0 to 1) in place of any column of that name, from the text alone;
-    null texts count as empty."""
+    null texts count as empty.  One row per row of ``docs``, repeated and null ids too; equal texts have equal scores."""
     kept = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     read = list(dict.fromkeys([*kept, "text"]))
     at = read.index("text")
