@@ -8,7 +8,7 @@ from tidepool.functions.aliases import AliasRegistry
 from tidepool.functions.sql import register
 from tidepool.functions.vocabulary import Vocabulary
 from tidepool.operators import deliver, learn, rank
-from tidepool.operators.match import QuerySet
+from tidepool.operators.match import QuerySet, owned
 from tidepool.session import Percolator, Settings, seconds
 from tidepool.sources import loader
 from tidepool.sources.generate import Shape, SplitMix, generate
@@ -146,6 +146,27 @@ def test_sources(spark, tmp_path):
     assert loader.detect("a.tsv", "{") == "csv" and loader.detect("a.txt", ' {"id"') == "jsonl" and loader.detect(None, "") == "csv"
 
 
+def test_a_number_without_a_comma_is_no_header(spark):
+    good, bad = loader.load_str(spark, "7\n8,red\n", "csv")
+    assert [tuple(r) for r in good.collect()] == [(8, "red")]
+    assert [tuple(r) for r in bad.collect()] == [(0, "no comma")]
+    good, bad = loader.load_str(spark, "header\n8,red\n", "csv")
+    assert good.count() == 1 and bad.count() == 0
+
+
+def test_merged_parts_and_owners(spark):
+    schema = "title_id long, query_id long, score long"
+    parts = [frame(spark, rows, schema) for rows in ([(1, 4, 9), (1, 2, 7)], [(1, 3, 9), (2, 5, 1)], [])]
+    assert sorted(tuple(r) for r in rank.merged_top_k(parts, 2).select("title_id", "query_id", "score", "rank").collect()) == [(1, 3, 9, 1), (1, 4, 9, 2), (2, 5, 1, 1)]
+    with pytest.raises(Exception, match="two parts tell of query 4"):
+        rank.merged_top_k([parts[0], parts[0].where("query_id = 4")], 2).collect()
+    counts = [frame(spark, rows, "title_id long, value long, relation string") for rows in ([(1, 2, "eq"), (2, 3, "gte")], [(1, 1, "eq")])]
+    assert sorted(tuple(r) for r in rank.merged_totals(counts, 3).collect()) == [(1, 3, "eq"), (2, 3, "gte")]
+    assert sorted(tuple(r) for r in rank.merged_totals(counts, 2).collect()) == [(1, 2, "gte"), (2, 2, "gte")]
+    emitted = frame(spark, [(1, [1, 2], [2, 1]), (2, [1, 2], [2, 1]), (2, [2, 3], [2]), (1, [1], [2])], "here long, placement array<long>, route array<long>")
+    assert [r.here for r in owned(emitted, F.col("here"), F.col("placement"), F.col("route")).collect()] == [1, 2]
+
+
 def test_bulk_bodies():
     body = '{"index":{"_id":1}}\n{"query":"a","tags":{"n":7.0,"b":true,"l":["x",null]},"shop":"s","rank_fields":{"priority":"-3"}}\n{"create":{"_id":2}}\n{"query":"b","tags":{"o":{}}}\n'
     one, two = loader.parse_bulk(body, 5)

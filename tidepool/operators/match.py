@@ -248,6 +248,12 @@ class QuerySet:
         return replace(self, rows=self.rows.join(missing.unionByName(dead).distinct(), "row_id", "left_anti"))
 
 
+def owned(emissions: DataFrame, here: Column, placement: Column, route: Column) -> DataFrame:
+    """Of emissions that several places make, the one of their owner: the first place that holds the query (``placement``) and
+    that the title goes to (``route``).  Where no place does both, none is left."""
+    return emissions.where(here == F.array_min(F.array_intersect(placement, route)))
+
+
 def tag_pairs(tags: Column) -> Column:
     """``array<struct<key, value>>`` to the pairs that filters and boosts compare."""
     return F.transform(tags, lambda t: F.concat(t["key"], F.lit(C.SEP), t["value"]))

@@ -251,6 +251,31 @@ def totals(matches: DataFrame, up_to: int | None = None) -> DataFrame:
     return out.select("title_id", F.least("value", F.lit(up_to)).cast("long").alias("value"), F.when(F.col("value") > up_to, "gte").otherwise("eq").alias("relation"))
 
 
+def merged_top_k(parts: list[DataFrame], size: int) -> DataFrame:
+    """Each title's best ``size`` from the best ``size`` of parts that share no query; a pair that two parts tell of is an error
+    when the rows are read."""
+    check_size(size)
+    if not parts:
+        raise ValueError("no parts")
+    rows = parts[0].select("title_id", "query_id", "score")
+    for part in parts[1:]:
+        rows = rows.unionByName(part.select("title_id", "query_id", "score"))
+    once = rows.groupBy("title_id", "query_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("_n"))
+    told = F.when(F.col("_n") == 1, F.col("score")).otherwise(F.raise_error(F.concat(F.lit("two parts tell of query "), F.col("query_id").cast("string"))).cast("long"))
+    return ranked(once.select("title_id", "query_id", told.alias("score"))).where(F.col("rank") <= size)
+
+
+def merged_totals(parts: list[DataFrame], up_to: int) -> DataFrame:
+    """The totals of parts that share no query, as ``totals`` tells them: exact only if every part is and all together do not
+    exceed ``up_to``."""
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    out = rows.groupBy("title_id").agg(F.sum("value").alias("_n"), F.bool_and(F.col("relation") == "eq").alias("_exact"))
+    exact = F.col("_exact") & (F.col("_n") <= up_to)
+    return out.select("title_id", F.least("_n", F.lit(up_to)).cast("long").alias("value"), F.when(exact, "eq").otherwise("gte").alias("relation"))
+
+
 def with_source(hits: DataFrame, registry: DataFrame, includes: tuple[str, ...] = ("*",), excludes: tuple[str, ...] = ()) -> DataFrame:
     """The stored columns of final hits only, those whose names pass the globs."""
     from fnmatch import fnmatchcase

@@ -30,7 +30,8 @@ def parse_csv(lines: DataFrame) -> DataFrame:
     value = F.rtrim(F.regexp_replace("value", "\r$", ""))
     rows = lines.select("line_no", value.alias("v")).where(F.trim("v") != "")
     comma = F.instr("v", ",")
-    head, rest = F.trim(F.substring("v", F.lit(1), F.greatest(comma - 1, F.lit(0)))), F.trim(F.substr("v", comma + 1))
+    head = F.trim(F.when(comma > 0, F.substring("v", F.lit(1), comma - 1)).otherwise(F.col("v")))
+    rest = F.trim(F.substr("v", comma + 1))
     quoted = F.length(rest).__ge__(2) & F.startswith(rest, F.lit('"')) & F.endswith(rest, F.lit('"'))
     number = F.when(F.col("_head").rlike("^[0-9]+$"), F.col("_head").try_cast("bigint"))
     rows = rows.withColumn("_comma", comma).withColumn("_head", head).withColumn("_rest", rest).withColumn("_q", quoted)
