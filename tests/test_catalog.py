@@ -10,7 +10,7 @@ from tidepool import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["title_features", "percolate_compound_anyof", "percolate_forbidden_phrase", "percolate_part_queries", "rank_tree_topk", "registry_create_conflicts", "load_csv", "learn_bigrams_npmi", "percolate_mixed", "percolate_mixed_lanes", "mixed_cost_classes", "percolate_bodies", "rank_copies", "load_bulk", "feedback_report", "registry_metrics"]
+SOME = ["title_features", "percolate_compound_anyof", "percolate_forbidden_phrase", "percolate_part_queries", "rank_tree_topk", "registry_create_conflicts", "load_csv", "learn_bigrams_npmi", "percolate_mixed", "percolate_mixed_lanes", "mixed_cost_classes", "percolate_bodies", "rank_copies", "load_bulk", "feedback_report", "registry_metrics", "rank_merged_parts", "total_hits_merged", "owned_emissions", "delivery_checksums", "delivery_files", "load_files", "profile_fingerprints", "rank_saturated", "parse_limits", "query_shapes", "explain_pairs", "solr_aliases", "learned_aliases", "learned_phrases", "vocabulary_merged", "registry_durable", "rank_pages"]
 
 
 def plain(v):

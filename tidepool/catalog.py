@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.functions import aliases
 from tidepool.functions import columns as C
 from tidepool.functions.analysis import FOLDS, Analyzer
 from tidepool.functions.vocabulary import Vocabulary
 from tidepool.operators import deliver, inspect, learn, rank
-from tidepool.operators.match import QuerySet
+from tidepool.operators.match import QuerySet, owned
 from tidepool.sources import loader
 from tidepool.streaming import registry, stream
 
@@ -624,6 +627,264 @@ def stream_windows(spark, sf_dir):
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "query_id", "n")
 
 
+# --- parts, owners, checksums, files ---------------------------------------------------------------------------------------
+
+
+def in_parts(spark: SparkSession, sf_dir: str, n: int = 3) -> list[QuerySet]:
+    """The stored corpus, dealt to ``n`` sets of its own."""
+    rows = part_queries(spark, sf_dir)
+    return [QuerySet.build(rows.where(F.pmod("query_id", F.lit(n)) == k)) for k in range(n)]
+
+
+@query("rank_merged_parts", f"WITH {RANKED_SQL.format(score=SCORE_SQL)} SELECT title_id, query_id, score, rank FROM r WHERE rank <= 2")
+def rank_merged_parts(spark, sf_dir):
+    titles, spec = part_titles(spark, sf_dir), rank.RankSpec(boosts=BOOSTS)
+    return rank.merged_top_k([rank.top_k(rank.scored(part, titles, spec, "with_broad"), 2) for part in in_parts(spark, sf_dir)], 2)
+
+
+@query("total_hits_merged", f"WITH {MATCHED_SQL} SELECT title_id, least(count(DISTINCT query_id), 2) AS value, CASE WHEN count(DISTINCT query_id) > 2 THEN 'gte' ELSE 'eq' END AS relation FROM m GROUP BY title_id")
+def total_hits_merged(spark, sf_dir):
+    titles = part_titles(spark, sf_dir)
+    return rank.merged_totals([rank.totals(part.match(titles, "with_broad"), 2) for part in in_parts(spark, sf_dir)], 2)
+
+
+@query("owned_emissions", f"WITH {MATCHED_SQL}, h AS (SELECT title_id, query_id, list_min(list_intersect([query_id % 3, 3 + query_id % 2], [title_id % 3, 3 + title_id % 2])) AS place FROM m) SELECT title_id, query_id, place FROM h WHERE place IS NOT NULL")
+def owned_emissions(spark, sf_dir):
+    """Each place that holds a query and gets a title emits the pair; the owner's emission is left."""
+    placement, route = (F.array(F.col(c) % 3, F.col(c) % 2 + 3) for c in ("query_id", "title_id"))
+    found = stored(spark, sf_dir).match(part_titles(spark, sf_dir), "with_broad")
+    emitted = found.withColumn("place", F.explode(F.array_intersect(placement, route)))
+    return owned(emitted, F.col("place"), placement, route)
+
+
+@query("delivery_checksums", f"WITH {MATCHED_SQL} SELECT title_id, count(*) AS exact_total, true AS merges, true AS tells_scores_apart FROM m GROUP BY title_id")
+def delivery_checksums(spark, sf_dir):
+    """Checksums of two halves merge to that of the whole; with scores they differ from those without."""
+    found = scores(spark, sf_dir)
+    bare = found.select("title_id", "query_id")
+    whole, scored = deliver.summary(bare), deliver.summary(found).select("title_id", F.col("xor").alias("x"), F.col("sum").alias("s"))
+    halves = deliver.summary(bare.where("query_id % 2 = 0")).unionByName(deliver.summary(bare.where("query_id % 2 = 1")))
+    modulus = F.lit(str(deliver.WORD)).cast("decimal(38,0)")
+    halves = halves.groupBy("title_id").agg(F.bit_xor("xor").alias("hx"), F.sum(F.col("sum").cast("decimal(20,0)")).cast("decimal(38,0)").alias("hs"))
+    out = whole.join(halves, "title_id").join(scored, "title_id")
+    merges = (F.col("xor") == F.col("hx")) & (F.col("sum") == F.pmod("hs", modulus))
+    return out.select("title_id", "exact_total", merges.alias("merges"), ((F.col("xor") != F.col("x")) & (F.col("sum") != F.col("s"))).alias("tells_scores_apart"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors see, under ``spark.checkpoint.dir``; a local master without it gets a temporary
+    one."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='tidepool-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("delivery_files", f"WITH {MATCHED_SQL}, n AS (SELECT title_id, query_id, row_number() OVER (PARTITION BY title_id ORDER BY query_id) - 1 AS n FROM m) SELECT title_id, query_id, CAST(n // 2 AS BIGINT) AS sequence, sha256('e-7' || chr(1) || '4' || chr(1) || query_id) AS key, CAST(count(*) OVER (PARTITION BY title_id) AS BIGINT) AS exact_total FROM n")
+def delivery_files(spark, sf_dir):
+    """Chunks and completions as they stand in the files."""
+    path = shared_folder(spark, "delivery")
+    deliver.write_stream(stored(spark, sf_dir).match(part_titles(spark, sf_dir), "with_broad"), path, "e-7", generation=4, size=2)
+    frames = spark.read.schema("type string, title_id long, sequence long, members array<struct<logical_id: long, idempotency_key: string>>").json(f"{path}/chunks")
+    ends = spark.read.schema("type string, title_id long, exact_total long").json(f"{path}/completion").where("type = 'completion'")
+    rows = frames.where("type = 'match_chunk'").select("title_id", "sequence", F.inline("members"))
+    return rows.join(ends, "title_id").select("title_id", F.col("logical_id").alias("query_id"), "sequence", F.col("idempotency_key").alias("key"), "exact_total")
+
+
+@query("load_files", "SELECT 'tsv' AS kind, p_partkey AS query_id, p_name || ', (red,' || p_brand || ')' AS query, CAST(NULL AS VARCHAR) AS error FROM part WHERE p_partkey % 5 > 1 UNION ALL SELECT 'tsv', NULL, NULL, CASE p_partkey % 5 WHEN 0 THEN 'no comma' ELSE 'empty query' END FROM part WHERE p_partkey % 5 < 2 UNION ALL SELECT 'ndjson', p_partkey, p_name, NULL FROM part WHERE p_partkey % 5 > 1 UNION ALL SELECT 'ndjson', NULL, NULL, CASE p_partkey % 5 WHEN 0 THEN 'not JSON' ELSE 'id is no 63-bit number' END FROM part WHERE p_partkey % 5 < 2")
+def load_files(spark, sf_dir):
+    """Files told apart by their names, with lines that are wrong among them."""
+    path, key, part = shared_folder(spark, "files"), F.col("p_partkey").cast("string"), table(spark, sf_dir, "part")
+    kind = F.col("p_partkey") % 5
+    lines = {
+        "tsv": F.when(kind == 0, key).when(kind == 1, F.concat(key, F.lit(', ""'))).otherwise(F.concat(key, F.lit(","), "p_name", F.lit(", (red,"), "p_brand", F.lit(")"))),
+        "ndjson": F.when(kind == 0, F.lit("{nothing")).when(kind == 1, F.lit('{"id": -1, "query": "red"}')).otherwise(F.concat(F.lit('{"id": '), key, F.lit(', "query": "'), "p_name", F.lit('"}'))),
+    }
+    out = None
+    for ending, line in lines.items():
+        part.select(line.alias("value")).write.text(f"{path}/q.{ending}")
+        good, bad = loader.load_file(spark, f"{path}/q.{ending}")
+        rows = good.select(F.lit(ending).alias("kind"), "query_id", "query", F.lit(None).cast("string").alias("error")).unionByName(bad.select(F.lit(ending).alias("kind"), "error"), allowMissingColumns=True)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+# --- profiles, limits, shapes of queries -----------------------------------------------------------------------------------
+
+FINGERPRINTED = {
+    "plain": {"kind": "static"},
+    "weights": {"kind": "linear", "intercept": -5, "weights": [{"feature": "query_positive_terms", "weight": 120}, {"feature": "title_digits", "weight": -1 << 62}]},
+    "tree": {"kind": "tree_ensemble", "base_score": 1, "trees": [{"nodes": [{"kind": "split", "feature": "title_bytes", "threshold": 30, "left": 1, "right": 2}, {"kind": "leaf", "value": -8}, {"kind": "leaf", "value": 9}]}]},
+}
+#: What is hashed, as (value, bytes).
+_HASHED = {"plain": [(0, 1)], "static_v1": [(0, 1)], "weights": [(1, 1), (-5, 8), (2, 8), (0, 1), (120, 8), (6, 1), (-1 << 62, 8)], "tree": [(2, 1), (1, 8), (1, 8), (3, 8), (0, 1), (5, 1), (30, 8), (1, 8), (2, 8), (1, 1), (-8, 8), (1, 1), (9, 8)]}
+_WORDS_SQL = ", ".join(f"('{name}', {place}, CAST({value} AS HUGEINT), {size})" for name, words in _HASHED.items() for place, (value, size) in enumerate(words))
+
+
+@query("profile_fingerprints", f"""WITH w(name, place, value, size) AS (VALUES {_WORDS_SQL}),
+    b AS (SELECT name, flatten(list(list_transform(range(0, size), lambda i: CAST(((value + (CAST(1 AS HUGEINT) << 64)) >> CAST(8 * i AS INTEGER)) & 255 AS HUGEINT)) ORDER BY place)) AS bytes FROM w GROUP BY name)
+    SELECT name, 'fnv1a64:' || lpad(lower(to_hex(CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), bytes), lambda h, x: (xor(h, x) * 1099511628211) % 18446744073709551616) AS UBIGINT))), 16, '0') AS fingerprint FROM b""")
+def profile_fingerprints(spark, sf_dir):
+    """Profiles of a file that names the fingerprints it expects."""
+    loaded = rank.load_profiles(json.dumps({"version": 1, "profiles": FINGERPRINTED}))
+    expected = {n: p | {"expected_fingerprint": loaded[n].fingerprint()} for n, p in FINGERPRINTED.items()}
+    again = rank.load_profiles(json.dumps({"version": 1, "profiles": expected}))
+    return spark.createDataFrame([(n, p.fingerprint()) for n, p in again.items()], "name string, fingerprint string")
+
+
+@query("rank_saturated", f"WITH {RANKED_SQL.format(score=f'CAST(least(CASE WHEN p_type = {chr(39)}PROMO{chr(39)} THEN 9223372036854775800 ELSE 0 END::HUGEINT + priority - CASE WHEN p_brand = {chr(39)}Brand#11{chr(39)} THEN 9223372036854775800 ELSE 0 END::HUGEINT, 9223372036854775807) AS BIGINT)')} SELECT title_id, query_id, score, rank FROM r")
+def rank_saturated(spark, sf_dir):
+    """Sums that leave 64 bits stay at their end."""
+    edge = (1 << 63) - 8
+    return rank.ranked(scores(spark, sf_dir, rank.RankSpec(boosts=(("type", "PROMO", edge), ("brand", "Brand#11", -edge)))))
+
+
+@query("parse_limits", """WITH s AS (SELECT p_partkey AS query_id, p_partkey % 3 AS kind, CASE p_partkey % 3 WHEN 0 THEN 10230 + p_partkey % 20 WHEN 1 THEN 250 + p_partkey % 14 ELSE 60 + p_partkey % 10 END AS n FROM part)
+    SELECT query_id, CASE kind WHEN 0 THEN 'QueryTooLong' WHEN 1 THEN 'TooManyClauses' ELSE 'AnyOfGroupTooLarge' END AS kind, 0 AS pos FROM s WHERE n > CASE kind WHEN 0 THEN 10240 WHEN 1 THEN 256 ELSE 64 END""")
+def parse_limits(spark, sf_dir):
+    """Queries at and beyond the bounds of bytes, clauses and members."""
+    key = F.col("p_partkey")
+    long, many = F.repeat(F.lit("x"), (key % 20 + 10_230).cast("int")), F.repeat(F.lit("-b a "), (F.floor((key % 14 + 250) / 2)).cast("int"))
+    many = F.concat(many, F.when((key % 14) % 2 == 1, "a").otherwise(""))
+    wide = F.concat(F.lit("("), F.repeat(F.lit("cd, ,"), (key % 10 + 60).cast("int")), F.lit(")"))
+    rows = table(spark, sf_dir, "part").select(key.alias("query_id"), F.when(key % 3 == 0, long).when(key % 3 == 1, many).otherwise(wide).alias("query"))
+    return QuerySet.build(rows).rejected.select("query_id", "kind", "pos")
+
+
+@query("query_shapes", f"WITH {MIXED_SQL.strip()} SELECT query_id, CASE kind WHEN 2 THEN 2 WHEN 5 THEN 2 WHEN 6 THEN 0 WHEN 7 THEN 2 ELSE 1 END AS positive, CASE WHEN kind IN (3, 4, 6) THEN 1 ELSE 0 END AS negative, CASE WHEN kind IN (3, 5) THEN 1 ELSE 0 END AS groups FROM q")
+def query_shapes(spark, sf_dir):
+    """What ranking knows of a query."""
+    return mixed(spark, sf_dir).rows.select("query_id", F.col("n_positive_terms").alias("positive"), F.col("n_negative_terms").alias("negative"), F.col("n_anyof_groups").alias("groups"))
+
+
+@query("explain_pairs", f"""WITH {views_sql()}, {STORED_SQL}, p AS (SELECT title_id, q.query_id, need, pos FROM v JOIN part ON p_partkey = title_id JOIN q ON q.query = split_part(p_name, ' ', 1) || ' bolt')
+    SELECT title_id, query_id, len(list_filter(need, lambda x: NOT list_contains(pos, x))) = 0 AS matched,
+           CASE WHEN list_has_all(pos, need) THEN '' ELSE 'missing required: ' || array_to_string(list_sort(list_filter(need, lambda x: NOT list_contains(pos, x))), ', ') END AS failures FROM p""")
+def explain_pairs(spark, sf_dir):
+    """A stored query explained for each title, by its id: that of the title's first word and of bolts."""
+    queries = part_queries(spark, sf_dir)
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("title_id"), F.concat(F.substring_index("p_name", " ", 1), F.lit(" bolt")).alias("query"))
+    pairs = part_titles(spark, sf_dir).join(asked, "title_id").join(queries.select("query", "query_id"), "query").select("title_id", "title", "query_id")
+    return inspect.explain(QuerySet.build(queries), pairs).select("title_id", "query_id", "matched", F.array_join("failures", "; ").alias("failures"))
+
+
+@query("match_stats_copies", f"""WITH {views_sql()}, c AS (SELECT p_name, min(p_partkey) AS query_id FROM part GROUP BY p_name),
+    w AS (SELECT query_id, list_transform(string_split(p_name, ' '), lambda x: 'term:' || x) AS need FROM c), e AS (SELECT title_id, query_id FROM v JOIN w ON list_has_all(pos, need) UNION ALL SELECT title_id, query_id FROM v JOIN w ON list_has_all(pos, ['term:promo', need[1]]))
+    SELECT (SELECT count(*) FROM v) AS titles, count(*) AS emissions, count(DISTINCT (title_id, query_id)) AS matches, count(*) - count(DISTINCT (title_id, query_id)) AS duplicates FROM e""")
+def match_stats_copies(spark, sf_dir):
+    """Where a query has several live copies a pair may be emitted for each of them."""
+    return inspect.match_stats(copies(spark, sf_dir), part_titles(spark, sf_dir), "with_broad").select("titles", "emissions", "matches", "duplicates")
+
+
+@query("sql_functions", f"WITH {views_sql()} SELECT title_id, CAST(len(pos) AS INTEGER) AS features, {has('bolt')} AND NOT {has('red')} AS matched FROM v")
+def sql_functions(spark, sf_dir):
+    from tidepool.functions import sql
+
+    sql.register(spark)
+    return part_titles(spark, sf_dir).select("title_id", F.expr("size(title_features(title))").alias("features"), F.expr("percolates('bolt -red', title)").alias("matched"))
+
+
+# --- vocabularies ------------------------------------------------------------------------------------------------------------
+
+percolation("percolate_punctuation", {1: ("brand11", "title LIKE '%Brand#11'"), 2: ("brand", "false"), 3: ("bolt -brand#2", f"{has('bolt')} AND title NOT LIKE '%Brand#2'")}, Vocabulary(punctuation={"#": "fold"}))
+percolation("percolate_additive_phrase", {1: ("red bolt", run_of("red", "bolt")), 2: ("bolt", has("bolt")), 3: ("red -bolt", f"{has('red')} AND NOT {has('bolt')}")}, Vocabulary(phrases={("red", "bolt"): ("term:red_bolt", True)}))
+_FIRST = Vocabulary(synonyms={"hot": "term:temperature", "gear": "term:wheel"}, equivalences=[("red", "blue")])
+_SECOND_VOCABULARY = Vocabulary(synonyms={"hot": "term:red", "cold": "term:temperature"}, equivalences=[("blue", "old")])
+percolation(
+    "vocabulary_merged",
+    {1: ("cold", f"({has('hot')} OR {has('cold')})"), 2: ("old plate", f"{has('plate')} AND ({has('old')} OR {has('blue')} OR {has('red')})"), 3: ("wheel", has("gear"))},
+    Vocabulary.from_json(_FIRST.merge(_SECOND_VOCABULARY).to_json()),
+)
+
+
+@query("solr_aliases", """WITH n AS (SELECT DISTINCT string_split(p_name, ' ') AS w FROM part),
+    g AS (SELECT list_sort(w) AS forms, CASE WHEN left(w[1], 3) = left(w[2], 3) THEN 'single_token_variant' ELSE 'single_token_distinct' END AS kind FROM n UNION ALL SELECT list_sort([array_to_string(w, ' '), w[2] || w[1]]), 'multi_word' FROM n)
+    SELECT array_to_string(forms, '|') AS forms, kind, CASE WHEN forms[1] LIKE 'b%' THEN 'rejected' ELSE 'active' END AS status, 'declared' AS provenance FROM g""")
+def solr_aliases(spark, sf_dir):
+    """A synonym file of all part names, taken in twice; what is rejected between stays rejected, a lower source changes
+    nothing."""
+    # one more than a file may hold, so that a larger one is refused
+    names = [r.p_name.split(" ") for r in table(spark, sf_dir, "part").select("p_name").distinct().orderBy("p_name").limit(aliases.MAX_RULES // 2 + 1).collect()]
+    text = "# names\n" + "".join(f"{a}, {b}\n\n{a} {b} => {b}{a}\n" for a, b in names)
+    out = aliases.AliasRegistry()
+    for group in out.import_solr(text):
+        if group.forms[0].startswith("b"):
+            out.reject(group.forms)
+    out.import_solr(text)
+    for a, b in names:
+        out.add((a, b), "distributional", 0.5)
+    return spark.createDataFrame([("|".join(e.forms), e.kind, e.status, e.provenance) for e in out.entries.values()], "forms string, kind string, status string, provenance string")
+
+
+_NAMED_SQL = "g AS (SELECT p_partkey AS query_id, string_split(p_name, ' ') AS w FROM part)"
+
+
+def named_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("("), F.translate("p_name", " ", ","), F.lit(") -(x,y) "), "p_type").alias("query"))
+
+
+@query("learned_aliases", f"WITH {_NAMED_SQL}, c AS (SELECT list_sort(w) AS forms, count(*) AS n FROM g GROUP BY 1 HAVING count(*) >= 3) SELECT array_to_string(forms, '|') AS forms, CASE WHEN left(forms[1], 3) = left(forms[2], 3) THEN 'single_token_variant' ELSE 'single_token_distinct' END AS kind, CASE WHEN left(forms[1], 3) = left(forms[2], 3) THEN 'active' ELSE 'candidate' END AS status, round(n / (n + 3), 6) AS confidence FROM c")
+def learned_aliases(spark, sf_dir):
+    out = aliases.AliasRegistry()
+    learn.learn_aliases(named_groups(spark, sf_dir), out, 3)
+    return spark.createDataFrame([("|".join(e.forms), e.kind, e.status, round(e.confidence, 6)) for e in out.entries.values()], "forms string, kind string, status string, confidence double")
+
+
+@query("learn_synonyms_part", f"WITH {_NAMED_SQL}, p AS (SELECT CASE WHEN length(w[1]) > length(w[2]) OR length(w[1]) = length(w[2]) AND w[1] < w[2] THEN [w[1], w[2]] ELSE [w[2], w[1]] END AS x FROM g), c AS (SELECT x[2] AS alias, x[1] AS canonical, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY n DESC, canonical) AS r FROM c) SELECT alias, canonical, n FROM r WHERE r = 1")
+def learn_synonyms_part(spark, sf_dir):
+    return learn.synonym_pairs(named_groups(spark, sf_dir))
+
+
+@query("learned_phrases", f"""WITH {CHAT_SQL}, u AS (SELECT unnest(w) AS w FROM d), s AS (SELECT w, count(*) AS k FROM u GROUP BY w), n AS (SELECT sum(k) AS n FROM s),
+    b AS (SELECT w[i] AS a, w[i + 1] AS b, count(*) AS k FROM (SELECT w, unnest(range(1, len(w))) AS i FROM d) GROUP BY 1, 2 HAVING count(*) >= 3)
+    SELECT b.a || ' ' || b.b AS tokens, 'term:' || b.a || '_' || b.b AS feature, true AS additive FROM b JOIN s p ON p.w = b.a JOIN s q ON q.w = b.b, n WHERE ln((b.k / n) / ((p.k / n) * (q.k / n))) / -ln(b.k / n) >= 0.3""")
+def learned_phrases(spark, sf_dir):
+    found = learn.learn_phrases(chat(spark, sf_dir), iterations=1)
+    return spark.createDataFrame([(" ".join(t), f, a) for t, (f, a) in found.items()], "tokens string, feature string, additive boolean")
+
+
+# --- a registry in a folder, pages over a pinned state --------------------------------------------------------------------
+
+_CREATED_SQL = f"{OPS_SQL.format(second=chr(39) + 'create' + chr(39))}, {_LIVE_SQL}, g AS (SELECT *, max(CASE WHEN op IN ('index', 'delete') THEN seq END) OVER (PARTITION BY query_id) AS last FROM a WHERE NOT (op = 'create' AND live))"
+
+
+@query("registry_durable", f"WITH {_CREATED_SQL} SELECT query_id, query FROM g WHERE op <> 'delete' AND (last IS NULL OR seq >= last)")
+def registry_durable(spark, sf_dir):
+    """A log of three batches, compacted after the second, read again from its copy as the published state."""
+    path, ops = shared_folder(spark, "registry"), order_ops(spark, sf_dir, "create").drop("refused")
+    first, last = ops.agg(F.min("seq"), F.max("seq")).first()
+    log, step = registry.Registry(spark, path), (last - first) // 3 + 1
+    for k in range(3):
+        log.append(ops.where(F.col("seq").between(first + k * step, first + (k + 1) * step - 1)))
+        if k == 1:
+            log.publish()
+            log.compact()
+    registry.Registry(spark, path).append(ops, replay=True)  # all of it was there
+    log.publish()
+    log.backup(f"{path}-copy")
+    return registry.Registry(spark, f"{path}-copy").snapshot().rows.select("query_id", "query")
+
+
+_PAGED = "new old red blue small large bolt gear rod plate"
+
+
+@query("rank_pages", f"WITH {STORED_SQL.strip()}, z AS (SELECT query_id, priority AS score FROM q WHERE list_has_all(list_transform(string_split('{_PAGED}', ' '), lambda x: 'term:' || x), need)), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, query_id) AS rank FROM z) SELECT CAST((rank - 1) // 5 AS BIGINT) AS page, query_id, score FROM r")
+def rank_pages(spark, sf_dir):
+    """Pages over a pinned state, which writes between them do not change."""
+    from tidepool.session import Percolator
+
+    engine = Percolator(spark, shared_folder(spark, "session"))
+    engine.registry.build(part_queries(spark, sf_dir).select("query_id", "query", "tags", "priority"))
+    pit, rows, cursor, number = engine.open_pit(), [], None, 0
+    while number == 0 or cursor:
+        found, cursor = engine.ranked_page(_PAGED, 5, None if cursor else pit, cursor, scope="with_broad")
+        rows += [(number, r.query_id, r.score) for r in found]
+        if number == 0:
+            engine.put(10**9, "red bolt", priority=10**6)
+        number += 1
+    return spark.createDataFrame(rows, "page long, query_id long, score long")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct part name as a stored query against all part titles: each title's three best."""
     return rank_static_topk(spark, sf_dir)
