@@ -157,12 +157,16 @@ class Merger:
         self.made = np.array([p[2] for p in pairs], np.int32)
         self.byte = np.array([ids[bytes([b])] for b in range(256)], np.int32)
         self.none = np.int32(2**31 - 1)
+        self.by_rank = np.array([ids[a + b] for a, b in vocab.merges], np.int32)
+        every = np.repeat(self.byte, 256).reshape(256, 256)
+        #: Ranks of pairs of bytes: the first round needs no search.
+        self.of_bytes = self.lookup(every, every.T)
 
-    def lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and place of each pair among the merges; ``none`` where it is no merge."""
+    def lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair among the merges; ``none`` where it is no merge."""
         code = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where((self.codes[at] == code) & (a >= 0) & (b >= 0), self.rank[at], self.none), at
+        return np.where((self.codes[at] == code) & (a >= 0) & (b >= 0), self.rank[at], self.none)
 
     def merge(self, words: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
         """The ids of each word: in every round each word's leftmost pair of the lowest rank becomes one id, until no pair
@@ -171,7 +175,7 @@ class Merger:
         ids = np.where(cols < lengths[:, None], self.byte[words], -1)
         out: list = [None] * len(ids)
         at = np.arange(len(ids))
-        ranks, _ = self.lookup(ids[:, :-1], ids[:, 1:]) if ids.shape[1] > 1 else (np.zeros((len(ids), 0), np.int32), None)
+        ranks = np.where(cols[1:] < lengths[:, None], self.of_bytes[words[:, :-1], words[:, 1:]], self.none)
         while len(at):
             rows = np.arange(len(at))
             spot = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(at), np.int64)
@@ -185,8 +189,7 @@ class Merger:
             if not len(at):
                 break
             rows = np.arange(len(at))
-            _, place = self.lookup(ids[rows, spot], ids[rows, spot + 1])
-            ids[rows, spot] = self.made[place]
+            ids[rows, spot] = self.by_rank[ranks[rows, spot]]
             width = ids.shape[1]
             source = np.minimum(cols[: width - 1] + (cols[: width - 1] > spot[:, None]), width - 1)
             ids = np.take_along_axis(ids, source, 1)
@@ -196,9 +199,9 @@ class Merger:
             source = np.minimum(cols[: width - 2] + (cols[: width - 2] > spot[:, None]), width - 2)
             ranks = np.take_along_axis(ranks, source, 1)
             left = np.flatnonzero(spot > 0)
-            ranks[left, spot[left] - 1] = self.lookup(ids[left, spot[left] - 1], ids[left, spot[left]])[0]
+            ranks[left, spot[left] - 1] = self.lookup(ids[left, spot[left] - 1], ids[left, spot[left]])
             right = np.flatnonzero(spot < width - 2)
-            ranks[right, spot[right]] = self.lookup(ids[right, spot[right]], ids[right, spot[right] + 1])[0]
+            ranks[right, spot[right]] = self.lookup(ids[right, spot[right]], ids[right, spot[right] + 1])
         return out
 
     def merge_long(self, word: bytes) -> list[int]:
