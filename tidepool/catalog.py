@@ -16,7 +16,7 @@ from tidepool.functions import columns as C
 from tidepool.functions.analysis import FOLDS, Analyzer
 from tidepool.functions.vocabulary import Vocabulary
 from tidepool.operators import deliver, inspect, learn, rank
-from tidepool.operators.match import QuerySet, owned
+from tidepool.operators.match import QuerySet, owned, rejected
 from tidepool.sources import loader
 from tidepool.streaming import registry, stream
 
@@ -748,7 +748,7 @@ def parse_limits(spark, sf_dir):
     many = F.concat(many, F.when((key % 14) % 2 == 1, "a").otherwise(""))
     wide = F.concat(F.lit("("), F.repeat(F.lit("cd, ,"), (key % 10 + 60).cast("int")), F.lit(")"))
     rows = table(spark, sf_dir, "part").select(key.alias("query_id"), F.when(key % 3 == 0, long).when(key % 3 == 1, many).otherwise(wide).alias("query"))
-    return QuerySet.build(rows).rejected.select("query_id", "kind", "pos")
+    return rejected(rows)
 
 
 @query("query_shapes", f"WITH {MIXED_SQL.strip()} SELECT query_id, CASE kind WHEN 2 THEN 2 WHEN 5 THEN 2 WHEN 6 THEN 0 WHEN 7 THEN 2 ELSE 1 END AS positive, CASE WHEN kind IN (3, 4, 6) THEN 1 ELSE 0 END AS negative, CASE WHEN kind IN (3, 5) THEN 1 ELSE 0 END AS groups FROM q")

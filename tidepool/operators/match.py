@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 
 from tidepool.functions import columns as C
 from tidepool.functions.analysis import Analyzer, graph_occurs
+from tidepool.functions.tasks import spread
 from tidepool.functions.vocabulary import Vocabulary
 from tidepool.plans import cover
-from tidepool.plans.lowering import compile_queries
+from tidepool.plans.lowering import compile_queries, refused_queries
 
 ARCS = T.ArrayType(T.StructType([T.StructField("feature", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 VIEW = T.StructType([T.StructField("neg", T.ArrayType(T.StringType())), T.StructField("pos", T.ArrayType(T.StringType())), T.StructField("neg_arcs", ARCS), T.StructField("pos_arcs", ARCS), T.StructField("positions", T.IntegerType())])
@@ -90,6 +91,14 @@ def with_phrases(rows: DataFrame, analyzer: Analyzer) -> DataFrame:
     return rows.where(phrases_hold(*given, F.coalesce("positions", F.lit(0))))
 
 
+def rejected(queries: DataFrame, vocabulary: Vocabulary | None = None, accept_class_d: bool = False) -> DataFrame:
+    """``query_id, kind, pos`` of the queries that a ``QuerySet`` would not take, without building one."""
+    vocabulary = vocabulary or Vocabulary()
+    analyzer = vocabulary.analyzer()
+    found = refused_queries(queries.select("query_id", "query"), analyzer, vocabulary.equivalence_classes(analyzer), accept_class_d)
+    return found.where("refusal is not null").select("query_id", "refusal.kind", "refusal.pos")
+
+
 BODY = ("required", "anyof", "forbidden", "required_phrases", "forbidden_phrases")
 
 
@@ -120,12 +129,12 @@ class QuerySet:
         compiled = compile_queries(queries, analyzer, vocabulary.equivalence_classes(analyzer)).cache()
         frequency = cover.feature_frequency(compiled)
         top = cover.Mask(tuple(mask if mask is not None else cover.top_mask(frequency)), theta)
-        classed = cover.classified(compiled.where("error is null"), frequency, top)
         negative = (F.size("forbidden") > 0) | (F.size("forbidden_phrases") > 0)
-        refused = (F.col("cost_class") == "D") & ~(negative & F.lit(accept_class_d))
+        nothing = (F.size("required") == 0) & (F.size("anyof") == 0) & (F.size("required_phrases") == 0)
+        refused = nothing & ~(negative & F.lit(accept_class_d))
         bad = compiled.where("error is not null").select("row_id", "query_id", "error.kind", "error.pos")
-        empty = classed.where(refused).select("row_id", "query_id", F.lit("ClassD").alias("kind"), F.lit(0).alias("pos"))
-        rows = classed.where(~refused).drop("error", "counted", "proxies").cache()
+        empty = compiled.where("error is null").where(refused).select("row_id", "query_id", F.lit("ClassD").alias("kind"), F.lit(0).alias("pos"))
+        rows = cover.classified(compiled.where("error is null").where(~refused), frequency, top).drop("error", "counted", "proxies").cache()
         return cls(rows, bad.unionByName(empty), analyzer, top, frequency, (rows, compiled))
 
     def release(self) -> None:
