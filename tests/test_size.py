@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions.analysis import Analyzer, clean
 from tidepool.functions.dsl import QueryError, parse
-from tidepool.operators import match
+from tidepool.operators import match, rank
 from tidepool.operators.match import QuerySet
 from tidepool.plans.lowering import compile_queries
 
@@ -30,3 +30,15 @@ def test_queries_of_one_file_are_checked_on_all_cores(spark):
     with pytest.raises(QueryError):
         parse("a - ")
     assert clean("É#1 C++/x日", {"+": "keep"}) == "e # 1 c++ / x "
+
+
+def test_batches_are_ranked_together(spark, monkeypatch):
+    titles = spark.range(60).selectExpr("id as title_id", "concat('red bolt ', id % 3) as title")
+    built = QuerySet.build(spark.createDataFrame([(1, "red", 3), (2, "bolt", 5), (3, "red 1", 4)], "query_id long, query string, priority long"))
+    batch = F.col("title_id") % 20
+    got = rank.batches_top_k(built, titles, rank.RankSpec(), 2, batch, "with_broad")
+    assert "Union" not in plan(got)
+    assert sorted(got.collect()) == sorted(rank.top_k(rank.scored(built, titles, rank.RankSpec(), "with_broad"), 2).collect())
+    monkeypatch.setattr(rank, "MAX_TITLES", 2)
+    with pytest.raises(ValueError):
+        rank.batches_top_k(built, titles, rank.RankSpec(), 2, batch, "with_broad")

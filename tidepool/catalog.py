@@ -6,7 +6,6 @@ import json
 import tempfile
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -382,8 +381,7 @@ def rank_batch_topk(spark, sf_dir):
     """In batches, as one may hold 10,000 titles at most."""
     built, titles, spec = stored(spark, sf_dir), part_titles(spark, sf_dir), rank.RankSpec(boosts=BOOSTS)
     batches = -(-titles.count() // (rank.MAX_TITLES // 2))
-    dealt = [titles.where(F.pmod(F.xxhash64("title_id"), F.lit(batches)) == n) for n in range(batches)]
-    return reduce(DataFrame.unionByName, [rank.batch_top_k(built, some, spec, 2, "with_broad") for some in dealt])
+    return rank.batches_top_k(built, titles, spec, 2, F.pmod(F.xxhash64("title_id"), F.lit(max(batches, 1))), "with_broad")
 
 
 @query("rank_compat", f"WITH {RANKED_SQL.format(score='CASE WHEN p_type = ' + chr(39) + 'PROMO' + chr(39) + ' THEN 100 ELSE 0 END')} SELECT title_id, query_id, score, rank FROM r")

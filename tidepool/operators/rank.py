@@ -238,6 +238,14 @@ def batch_top_k(query_set, titles: DataFrame, spec: RankSpec | Column, size: int
     return top_k(scored(query_set, titles, spec, scope, tags), size)
 
 
+def batches_top_k(query_set, titles: DataFrame, spec: RankSpec | Column, size: int, batch: Column, scope: str = "standard", tags: dict | None = None) -> DataFrame:
+    """As ``batch_top_k`` for each of the batches that ``batch`` numbers: none is matched if one is refused.  A title's best do
+    not depend on its batch, so all are matched and ranked together, however many batches there are."""
+    largest = titles.groupBy(batch.alias("_batch")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    check_size(size, largest or 0)
+    return top_k(scored(query_set, titles, spec, scope, tags), size)
+
+
 def page(scores: DataFrame, start: int = 0, size: int = 1000) -> DataFrame:
     """Rows ``start`` to ``start + size`` of each title's order."""
     return ranked(scores).where((F.col("rank") > start) & (F.col("rank") <= start + size))
