@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions.analysis import Analyzer, clean
 from tidepool.functions.dsl import QueryError, parse
+from tidepool.functions.vocabulary import Vocabulary
 from tidepool.operators import match, rank
 from tidepool.operators.match import QuerySet
 from tidepool.plans.lowering import compile_queries
@@ -37,8 +38,43 @@ def test_batches_are_ranked_together(spark, monkeypatch):
     built = QuerySet.build(spark.createDataFrame([(1, "red", 3), (2, "bolt", 5), (3, "red 1", 4)], "query_id long, query string, priority long"))
     batch = F.col("title_id") % 20
     got = rank.batches_top_k(built, titles, rank.RankSpec(), 2, batch, "with_broad")
-    assert "Union" not in plan(got)
-    assert sorted(got.collect()) == sorted(rank.top_k(rank.scored(built, titles, rank.RankSpec(), "with_broad"), 2).collect())
+    together = rank.top_k(rank.scored(built, titles, rank.RankSpec(), "with_broad"), 2)
+    assert plan(got).count("\n") == plan(together).count("\n")
+    assert sorted(got.collect()) == sorted(together.collect())
     monkeypatch.setattr(rank, "MAX_TITLES", 2)
     with pytest.raises(ValueError):
         rank.batches_top_k(built, titles, rank.RankSpec(), 2, batch, "with_broad")
+
+
+MANY = "query_id long, query string"
+
+
+def test_titles_of_one_file_are_matched_on_all_cores(spark):
+    titles = spark.range(400).selectExpr("id as title_id", "concat('red bolt w', id) as title").coalesce(1)
+    for vocabulary in (Vocabulary(), Vocabulary(phrases={("red", "bolt"): ("term:red_bolt", False)})):
+        assert tasks(match.title_views(titles, vocabulary.analyzer())) > 4
+        built = QuerySet.build(spark.createDataFrame([(1, "red bolt"), (2, "bolt"), (3, '"red bolt" w7'), (4, "w9")], MANY), vocabulary)
+        for strategy in ("broadcast", "shuffle"):
+            assert sorted(built.match(titles, "with_broad", strategy=strategy).collect()) == sorted(built.match(titles, "with_broad", strategy="brute").collect())
+
+
+def test_titles_are_never_sent_to_all_tasks_and_pairs_not_deduplicated(spark, tmp_path, monkeypatch):
+    spark.range(300).selectExpr("id as title_id", "concat('red bolt ', id % 3) as title").write.parquet(str(tmp_path / "t"))
+    titles = spark.read.parquet(str(tmp_path / "t"))
+    rows = [(i, ("red", "bolt 1", "(red,w) -2", "-1", "bolt 1")[i % 5]) for i in range(60)]
+    built = QuerySet.build(spark.createDataFrame(rows, MANY), accept_class_d=True)
+    want = sorted((t, q) for t in range(300) for q in range(60) if (True, t % 3 == 1, t % 3 != 2, t % 3 != 1, t % 3 == 1)[q % 5])
+    for most in (200_000, 10):
+        monkeypatch.setattr(match.cover, "BROADCAST_ROWS", most)
+        for strategy in ("broadcast", "shuffle"):
+            found = built.match(titles, "with_broad", strategy=strategy)
+            assert sorted(map(tuple, found.collect())) == want
+            lines = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+            assert "Aggregate" not in lines[0] + lines[1]
+    shuffled = built.pairs(titles, "with_broad", "shuffle")
+    assert "rightHint=(strategy=merge)" in plan(shuffled)
+    # ids that repeat, of titles and of queries, still give each pair once
+    twice = titles.unionByName(titles.where("title_id < 5").withColumn("title", F.lit("red")))
+    assert sorted(map(tuple, built.match(twice, "with_broad").collect())) == sorted(set(want) | {(t, q) for t in range(5) for q in range(60) if q % 5 in (0, 2, 3)})
+    again = QuerySet.build(spark.createDataFrame([*rows, (0, "bolt 2"), (1, "red")], MANY), accept_class_d=True)
+    assert sorted(map(tuple, again.match(titles, "with_broad").collect())) == sorted(set(want) | {(t, 1) for t in range(300)})

@@ -205,7 +205,7 @@ def scored(query_set, titles: DataFrame, spec: RankSpec | Column, scope: str = "
         return some.pairs(titles.select("title_id", "title"), scope, strategy).select("title_id", "query_id", score)
     matches = query_set.match(titles, scope, tags, strategy)
     newest = query_set.newest().select("query_id", "tags", "priority", "n_positive_terms", "n_negative_terms", "n_anyof_groups")
-    return matches.join(newest, "query_id").join(titles.select("title_id", "title"), "title_id").select("title_id", "query_id", score)
+    return matches.join(newest, "query_id").join(titles.select("title_id", "title").hint("merge"), "title_id").select("title_id", "query_id", score)
 
 
 ORDER = ("score desc", "query_id asc")
