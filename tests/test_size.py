@@ -1,14 +1,19 @@
 """What must not depend on how large tables are or on how their files are cut."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
+from tidepool import catalog
+from tidepool.functions import sql
 from tidepool.functions.analysis import Analyzer, clean
 from tidepool.functions.dsl import QueryError, parse
 from tidepool.functions.vocabulary import Vocabulary
-from tidepool.operators import match, rank
+from tidepool.operators import deliver, match, rank
 from tidepool.operators.match import QuerySet
 from tidepool.plans.lowering import compile_queries
+from tidepool.streaming import registry
 
 
 def tasks(df):
@@ -78,3 +83,41 @@ def test_titles_are_never_sent_to_all_tasks_and_pairs_not_deduplicated(spark, tm
     assert sorted(map(tuple, built.match(twice, "with_broad").collect())) == sorted(set(want) | {(t, q) for t in range(5) for q in range(60) if q % 5 in (0, 2, 3)})
     again = QuerySet.build(spark.createDataFrame([*rows, (0, "bolt 2"), (1, "red")], MANY), accept_class_d=True)
     assert sorted(map(tuple, again.match(titles, "with_broad").collect())) == sorted(set(want) | {(t, 1) for t in range(300)})
+
+
+OPS = [(0, "index", 1, "red"), (1, "create", 1, "blue"), (2, "insert", 1, "a b"), (3, "delete", 2, None), (4, "create", 2, "x"), (5, "index", 3, "-"), (6, "index", 2, "y"), (7, "delete", 1, None), (8, "create", 1, "z"), (9, "create", 4, "-q")]
+
+
+def ops_of(spark):
+    return spark.createDataFrame([(*o, 1, [], 0) for o in OPS], registry.OPS)
+
+
+def test_a_log_is_measured_in_one_reading(spark):
+    ops = registry.accepted(ops_of(spark))
+    found = registry.measured(ops)
+    assert plan(found).count("ArrowEvalPython") == 1
+    assert found.first()[:5] == (8, 2, 2, 2, 4)
+    assert sorted(r.query_id for r in registry.live(ops).collect()) == [1, 2]
+
+
+def test_publishing_keeps_nothing_in_memory(spark, tmp_path):
+    log = registry.Registry(spark, str(tmp_path / "r"))
+    log.append(ops_of(spark))
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    log.publish()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+
+
+def test_chunks_and_completion_tell_of_the_same_matches(spark, tmp_path):
+    path, number = str(tmp_path / "d"), F.udf(lambda i: uuid.uuid4().int >> 70, "long").asNondeterministic()
+    deliver.write_stream(spark.range(40).select((F.col("id") % 3).alias("title_id"), number("id").alias("query_id")), path, "e", size=4)
+    rows = spark.read.schema("title_id long, members array<struct<logical_id: long>>").json(f"{path}/chunks").select("title_id", F.explode("members.logical_id").alias("query_id"))
+    ends = spark.read.schema("title_id long, exact_total long, xor long").json(f"{path}/completion")
+    assert sorted(ends.collect()) == sorted(deliver.summary(rows).select("title_id", "exact_total", "xor").collect())
+
+
+def test_sql_functions_run_on_all_cores_and_compile_once(spark, tmp_path):
+    spark.range(50).selectExpr("id as p_partkey", "'red bolt' as p_name", "'NEW' as p_type", "'Brand#1' as p_brand").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    found = catalog.QUERIES["sql_functions"](spark, str(tmp_path))
+    assert tasks(found) > 4 and {r[1:] for r in found.collect()} == {(5, False)}
+    assert sql.matches('bolt -"red x"', "red bolt", Vocabulary()) and not sql.matches('"bolt red"', "red bolt", Vocabulary())

@@ -22,15 +22,12 @@ FEW_IDS = 1000
 
 def accepted(ops: DataFrame, vocabulary: Vocabulary | None = None, accept_class_d: bool = False) -> DataFrame:
     """``ops`` with ``refused`` (why, or null): a query that does not parse or has no positive clause changes nothing."""
-    from tidepool.plans.lowering import compile_queries
+    from tidepool.plans.lowering import refused_queries
 
     vocabulary = vocabulary or Vocabulary()
     analyzer = vocabulary.analyzer()
-    writes = compile_queries(ops.where("op <> 'delete'"), analyzer, vocabulary.equivalence_classes(analyzer))
-    empty = (F.size("required") == 0) & (F.size("anyof") == 0) & (F.size("required_phrases") == 0)
-    negative = (F.size("forbidden") > 0) | (F.size("forbidden_phrases") > 0)
-    why = F.when(F.col("error").isNotNull(), F.col("error.kind")).when(empty & ~(negative & F.lit(accept_class_d)), F.lit("ClassD"))
-    return writes.select(*ops.columns, why.alias("refused")).unionByName(ops.where("op = 'delete'").withColumn("refused", F.lit(None).cast("string")))
+    writes = refused_queries(ops.where("op <> 'delete'"), analyzer, vocabulary.equivalence_classes(analyzer), accept_class_d)
+    return writes.select(*ops.columns, F.col("refusal.kind").alias("refused")).unionByName(ops.where("op = 'delete'").withColumn("refused", F.lit(None).cast("string")))
 
 
 def live(ops: DataFrame) -> DataFrame:
@@ -41,23 +38,29 @@ def live(ops: DataFrame) -> DataFrame:
 
     An id's copies are those since its last replacing operation.  All of it are windows by id over the log, which is
     shuffled once."""
+    return standing(ops.where("refused is null")).where("_live").select(F.col("seq").alias("row_id"), "query_id", "query", "version", "tags", "priority", F.col("seq").alias("generation"))
+
+
+def standing(ops: DataFrame) -> DataFrame:
+    """``ops`` with ``_live``: whether the operation's row is live after all of them."""
     by_id = Window.partitionBy("query_id")
-    rows = ops.where("refused is null").withColumn("op", created_as(by_id.orderBy("seq"))).where("op <> 'conflict'")
-    last = F.max(F.when(F.col("op").isin("index", "delete"), F.col("seq"))).over(by_id)
-    rows = rows.withColumn("_last", last).where("op <> 'delete' and (_last is null or seq >= _last)")
-    return rows.select(F.col("seq").alias("row_id"), "query_id", "query", "version", "tags", "priority", F.col("seq").alias("generation"))
+    good = F.when(F.col("refused").isNull(), F.col("op"))
+    rows = ops.withColumn("_op", good).withColumn("_as", F.when(F.col("_op").isNotNull(), created_as(by_id.orderBy("seq"), F.col("_op"))))
+    last = F.max(F.when(F.col("_as").isin("index", "delete"), F.col("seq"))).over(by_id)
+    stays = F.col("_as").isin("index", "insert") & (F.col("_last").isNull() | (F.col("seq") >= F.col("_last")))
+    return rows.withColumn("_last", last).withColumn("_live", F.coalesce(stays, F.lit(False))).drop("_op", "_as", "_last")
 
 
-def created_as(by_id: WindowSpec) -> Column:
+def created_as(by_id: WindowSpec, op: Column) -> Column:
     """``create`` as ``insert`` where nothing is live at that point, else ``conflict``.
 
     Something is live unless no write stands before it, or the last operation that was no create is a delete and no create
     stands between."""
     before = by_id.rowsBetween(Window.unboundedPreceding, -1)
-    last_delete = F.max(F.when(F.col("op") == "delete", F.col("seq"))).over(before)
-    last_write = F.max(F.when(F.col("op") != "delete", F.col("seq"))).over(before)
+    last_delete = F.max(F.when(op == "delete", F.col("seq"))).over(before)
+    last_write = F.max(F.when(op != "delete", F.col("seq"))).over(before)
     is_live = last_write.isNotNull() & (last_delete.isNull() | (last_write > last_delete))
-    return F.when(F.col("op") != "create", F.col("op")).when(is_live, F.lit("conflict")).otherwise(F.lit("insert"))
+    return F.when(op != "create", op).when(is_live, F.lit("conflict")).otherwise(F.lit("insert"))
 
 
 def outcomes(ops: DataFrame) -> DataFrame:
@@ -243,7 +246,9 @@ class Registry:
         if mask is None:
             rows = self.spark.read.parquet(f"{self.path}/state/{name}")
             if rows.limit(1).count():
-                mask = list(QuerySet.build(rows, self.vocabulary, accept_class_d=self.accept_class_d).mask.hot)
+                built = QuerySet.build(rows, self.vocabulary, accept_class_d=self.accept_class_d)
+                mask = list(built.mask.hot)
+                built.release()
         number = max(map(int, old["states"]), default=-1) + 1
         about = {"semantics": SEMANTICS, "mask": mask, "vocabulary": self.vocabulary.to_json(), "seq": old["next_seq"]}
         self.spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{self.path}/about/{name}")
@@ -333,10 +338,14 @@ class Registry:
 def measured(ops: DataFrame) -> DataFrame:
     """One row about a log with ``refused``: ``writes, refused, live, queries``, ``gone`` (replaced or deleted) and the share
     ``holes`` of it."""
-    a = ops.agg(F.count(F.when(F.col("op") != "delete", 1)).alias("writes"), F.count("refused").alias("refused"))
-    b = live(ops).agg(F.count(F.lit(1)).alias("live"), F.countDistinct("query_id").alias("queries"))
+    told = standing(ops).agg(
+        F.count(F.when(F.col("op") != "delete", 1)).alias("writes"),
+        F.count("refused").alias("refused"),
+        F.count(F.when(F.col("_live"), 1)).alias("live"),
+        F.countDistinct(F.when(F.col("_live"), F.col("query_id"))).alias("queries"),
+    )  # the log is read once
     gone = F.col("writes") - F.col("refused") - F.col("live")
-    return a.join(F.broadcast(b)).withColumn("gone", gone).withColumn("holes", gone / F.greatest(F.col("writes") - F.col("refused"), F.lit(1)))  # one row each
+    return told.withColumn("gone", gone).withColumn("holes", gone / F.greatest(F.col("writes") - F.col("refused"), F.lit(1)))
 
 
 def should_compact(sizes: list[int], dead: int, most_batches: int = 8, most_holes: float = 0.3) -> bool:
