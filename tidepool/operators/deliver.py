@@ -59,11 +59,15 @@ def idempotency_key(event_id: str, generation: Column, query_id: Column) -> Colu
 
 def write_stream(matches: DataFrame, path: str, event_id: str, generation: int = 0, size: int = 512) -> None:
     """Chunks as JSON lines, ``match_chunk`` with their members, then the ``completion``: if writing fails there is none."""
+    matches = matches.persist()  # told twice, looked for once
     cut = chunks(matches, size)
     fields = [F.col("query_id").alias("logical_id"), *([F.col("score")] if "score" in matches.columns else []), idempotency_key(event_id, F.lit(generation), F.col("query_id")).alias("idempotency_key")]
     frames = cut.groupBy("title_id", "sequence").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("members"))  # a chunk's size at most
-    frames.select(F.lit("match_chunk").alias("type"), "title_id", "sequence", "members").write.json(f"{path}/chunks")
-    summary(matches, size).select(F.lit("completion").alias("type"), "*").write.json(f"{path}/completion")
+    try:
+        frames.select(F.lit("match_chunk").alias("type"), "title_id", "sequence", "members").write.json(f"{path}/chunks")
+        summary(matches, size).select(F.lit("completion").alias("type"), "*").write.json(f"{path}/completion")
+    finally:
+        matches.unpersist()
 
 
 class Cancelled(RuntimeError):
