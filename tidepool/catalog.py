@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidepool.functions import aliases
 from tidepool.functions import columns as C
 from tidepool.functions.analysis import FOLDS, Analyzer
+from tidepool.functions.tasks import spread
 from tidepool.functions.vocabulary import Vocabulary
 from tidepool.operators import deliver, inspect, learn, rank
 from tidepool.operators.match import QuerySet, owned, rejected
@@ -779,7 +780,7 @@ def sql_functions(spark, sf_dir):
     from tidepool.functions import sql
 
     sql.register(spark)
-    return part_titles(spark, sf_dir).select("title_id", F.expr("size(title_features(title))").alias("features"), F.expr("percolates('bolt -red', title)").alias("matched"))
+    return spread(part_titles(spark, sf_dir)).select("title_id", F.expr("size(title_features(title))").alias("features"), F.expr("percolates('bolt -red', title)").alias("matched"))
 
 
 # --- vocabularies ------------------------------------------------------------------------------------------------------------
