@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepool import catalog
+from tidepool.functions import columns as C
 from tidepool.functions import sql
 from tidepool.functions.analysis import Analyzer, clean
 from tidepool.functions.dsl import QueryError, parse
@@ -121,3 +122,18 @@ def test_sql_functions_run_on_all_cores_and_compile_once(spark, tmp_path):
     found = catalog.QUERIES["sql_functions"](spark, str(tmp_path))
     assert tasks(found) > 4 and {r[1:] for r in found.collect()} == {(5, False)}
     assert sql.matches('bolt -"red x"', "red bolt", Vocabulary()) and not sql.matches('"bolt red"', "red bolt", Vocabulary())
+
+
+def test_common_signs_are_translated_and_features_sorted_without_a_comparator(spark):
+    kinds = [None, {"+": "keep", "-": "fold", "#": "split", "&": "marker", ".": "split"}, {" ": "keep", "é": "keep", "\0": "fold"}]
+    text = "".join(chr(c) for c in range(1, 0x250)) + "a\0b x--y É#1 C++/x日 7&8 ..5 ,K \u2028 😀z  "
+    one = spark.createDataFrame([(text,), ("",), (text[::-1],)], "t string")
+    for kind in kinds:
+        assert all(r.c == clean(r.t, kind) for r in one.select("t", C.cleaned(F.col("t"), kind).alias("c")).collect())
+    seq = C.sequence_of(F.col("t"), Analyzer())
+    out = one.select("t", C.features_of(seq).alias("f"))
+    assert all(r.f == Analyzer().features(r.t) for r in out.collect())
+    views = plan(match.title_views(one.select(F.lit(1).alias("title_id"), F.col("t").alias("title")), Analyzer()))
+    assert "array_sort" not in plan(out) + views
+    signs = plan(one.select(C.cleaned(F.col("t"))))
+    assert "A-Z" not in signs and all(c in signs[signs.index("translate(") : signs.index("[^")] for c in ",;:-_()\"'!?@")

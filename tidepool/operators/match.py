@@ -45,7 +45,7 @@ def title_views(titles: DataFrame, analyzer: Analyzer, title: str = "title") ->
     titles = spread(titles, *[c for c in titles.columns if c == "title_id"])
     if analyzer.plain:
         out = computed(titles, sequence=C.sequence_of(F.col(title), analyzer))
-        out = computed(out, pos=C.features_of(F.col("sequence")), probe=F.array_sort(F.array_distinct("sequence")))
+        out = computed(out, pos=C.features_of(F.col("sequence")), probe=F.sort_array(F.array_distinct("sequence")))
         return out.withColumn("neg", F.col("pos"))
 
     @F.pandas_udf(VIEW)
