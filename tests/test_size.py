@@ -137,3 +137,13 @@ def test_common_signs_are_translated_and_features_sorted_without_a_comparator(sp
     assert "array_sort" not in plan(out) + views
     signs = plan(one.select(C.cleaned(F.col("t"))))
     assert "A-Z" not in signs and all(c in signs[signs.index("translate(") : signs.index("[^")] for c in ",;:-_()\"'!?@")
+
+
+def test_a_prefilter_reads_its_titles_once(spark):
+    titles = spark.createDataFrame([(1, "red bolt"), (2, "blue ring")], "title_id long, title string")
+    built = QuerySet.build(spark.createDataFrame([(1, "red bolt"), (2, "red ring"), (3, "gear"), (4, "(gear,ring)")], "query_id long, query string"))
+    some = built.prefiltered(titles)
+    assert plan(some.rows).startswith("InMemoryRelation")
+    assert sorted(r.query_id for r in some.rows.collect()) == [1, 2, 4]
+    some.release()
+    assert not some.rows.storageLevel.useMemory and built.rows.storageLevel.useMemory

@@ -280,14 +280,17 @@ class QuerySet:
         return self.rows.withColumn("_n", rank).where("_n = 1").drop("_n")
 
     def prefiltered(self, titles: DataFrame) -> QuerySet:
-        """Without queries that no title of this batch can match: a required feature, or all of an any-of group, is in none."""
+        """Without queries that no title of this batch can match: a required feature, or all of an any-of group, is in none.
+
+        Kept like ``rows`` until ``release``: they are read several times, and each time would read the titles again."""
         here = title_views(titles.select("title").distinct(), self.analyzer).select(F.explode("pos").alias("feature")).distinct()
         need = self.rows.select("row_id", F.explode("required").alias("feature"))
         missing = need.join(here, "feature", "left_anti").select("row_id").distinct()
         groups = self.rows.select("row_id", F.posexplode("anyof").alias("g", "members")).select("row_id", "g", F.explode(F.flatten(F.flatten("members"))).alias("feature"))
         met = groups.join(here, "feature", "left_semi").select("row_id", "g").distinct()
         dead = groups.select("row_id", "g").distinct().join(met, ["row_id", "g"], "left_anti").select("row_id")
-        return replace(self, rows=self.rows.join(missing.unionByName(dead).distinct(), "row_id", "left_anti"))
+        left = self.rows.join(missing.unionByName(dead).distinct(), "row_id", "left_anti").cache()
+        return replace(self, rows=left, held=(left,))
 
 
 def owned(emissions: DataFrame, here: Column, placement: Column, route: Column) -> DataFrame:
